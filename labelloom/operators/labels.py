@@ -8,16 +8,28 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelloom.functions.arrays import one_hot
+from labelloom.operators.keyed import key_rank
 from labelloom.operators.lookup import lookup
 from labelloom.storage import written
 
 
+# A label table of at most this many rows is numbered in one task.
+SMALL_TABLE = 100_000
+
+
 def first_seen_ids(df: DataFrame, label: str, key: str) -> DataFrame:
-    """``(label, label_id)``: ids 0, 1, ... in order of first appearance by key."""
-    first = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.min(key).alias("_first"))
-    # One row per class.
-    order = W.orderBy("_first")
-    return first.select(label, (F.row_number().over(order) - 1).alias("label_id"))
+    """``(label, label_id, rows)``: ids 0, 1, ... in order of first appearance by key."""
+    first = written(
+        df.filter(F.col(label).isNotNull()).groupBy(label).agg(
+            F.min(key).alias("_first"), F.count("*").alias("rows")
+        ),
+        "labels",
+    )
+    if first.limit(SMALL_TABLE + 1).count() <= SMALL_TABLE:
+        ranked = first.withColumn("_r", F.row_number().over(W.orderBy("_first")))
+    else:
+        ranked = key_rank(first, "_first", name="_r")
+    return ranked.select(label, (F.col("_r") - 1).cast("int").alias("label_id"), "rows")
 
 
 def frequency_ids(df: DataFrame, label: str) -> StringIndexerModel:
@@ -29,12 +41,12 @@ def frequency_ids(df: DataFrame, label: str) -> StringIndexerModel:
 
 def with_label_id(df: DataFrame, labels: DataFrame, label: str, key: str) -> DataFrame:
     """Add the id of each row's label."""
-    return lookup(df, written(labels, "labels"), label, key, how="left")
+    return lookup(df, labels, label, key, "rows", how="left").drop("rows")
 
 
 def with_label_name(df: DataFrame, labels: DataFrame, label_id: str, key: str) -> DataFrame:
     """Add the name belonging to each row's label id."""
-    return lookup(df, written(labels, "labels"), label_id, key, how="left")
+    return lookup(df, labels, label_id, key, "rows", how="left").drop("rows")
 
 
 def class_array(df: DataFrame, label: str) -> Column:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.storage import written
+
 # A dictionary of at most this many rows is broadcast whole.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 # Otherwise only keys that hold at least 1/HOT_KEYS of all uses are; there cannot be more
 # than HOT_KEYS of them.
 HOT_KEYS = 1024
@@ -24,34 +26,41 @@ def lookup(
     """Join ``facts`` with ``table`` (unique ``on``), whatever the size and skew.
 
     ``table`` should be a written table: its row count is checked first. A small one is
-    broadcast. Of a large one, the keys that ``weight`` (how often a key is used) shows to
-    be hot are broadcast, and the rest is a shuffled join in which the rows already
-    answered are spread over all tasks by ``spread`` instead of meeting at the hot key.
-    Without ``weight`` the shuffled join is left to adaptive execution.
+    broadcast. Of a large one only the hot keys are broadcast, and the rest is a shuffled
+    join in which the rows already answered are spread over all tasks by ``spread`` instead
+    of meeting at the hot key. Which keys are hot is read from ``weight``, the column that
+    says how often a key is used; without it the uses are counted first.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
     if table.limit(broadcast_rows + 1).count() <= broadcast_rows:
         return facts.join(F.broadcast(table), on, how)
-    if weight is None:
-        return facts.join(table, on, how)
 
     payload = [c for c in table.columns if c != on]
-    total = table.agg(F.sum(weight).alias("total")).scalar()
     entry = F.struct(*payload)
-    hot = table.filter(F.col(weight) * F.lit(HOT_KEYS) >= total).select(on, entry.alias("_hot"))
+    if weight is None:
+        uses = written(facts.groupBy(on).agg(F.count("*").alias("_uses")), "uses")
+        total = uses.agg(F.sum("_uses").alias("total")).scalar()
+        hot_keys = uses.filter(F.col("_uses") * F.lit(HOT_KEYS) >= total).select(on)
+        hot = table.join(F.broadcast(hot_keys), on).select(on, entry.alias("_hot"))
+    else:
+        total = table.agg(F.sum(weight).alias("total")).scalar()
+        hot = table.filter(F.col(weight) * F.lit(HOT_KEYS) >= total).select(
+            on, entry.alias("_hot")
+        )
     cold = table.select(F.col(on).alias("_on"), F.lit(0).alias("_s"), entry.alias("_cold"))
+    settled = F.col("_hot").isNotNull() | F.col(on).isNull()
     answered = facts.join(F.broadcast(hot), on, "left").withColumn(
         "_salt",
-        F.when(F.col("_hot").isNotNull() | F.col(on).isNull(), F.pmod(F.xxhash64(spread), F.lit(4096)) + 1)
-        .otherwise(F.lit(0)).cast("int"),
+        F.when(settled, F.pmod(F.xxhash64(spread), F.lit(4096)) + 1).otherwise(0).cast("int"),
     )
     joined = answered.join(
         cold, (answered[on] == cold["_on"]) & (answered["_salt"] == cold["_s"]), "left"
     ).withColumn("_entry", F.coalesce("_hot", "_cold"))
     if how == "inner":
         joined = joined.filter(F.col("_entry").isNotNull())
-    found = [F.col(f"_entry.{c}").alias(c) for c in payload]
-    order = [on, *[c for c in facts.columns if c != on]]
-    kept = [F.col(c) for c in order]
-    return joined.select(*kept, *found)
+    return joined.select(
+        on,
+        *[c for c in facts.columns if c != on],
+        *[F.col(f"_entry.{c}").alias(c) for c in payload],
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from labelloom.operators.keyed import running_count
 from labelloom.operators.lookup import lookup
+from labelloom.operators.vocabulary import term_counts
 from labelloom.storage import written
 
 
@@ -20,7 +21,7 @@ def corpus_stats(df: DataFrame, label: str, words: str) -> DataFrame:
     sized = df.select(label, F.size(words).cast("long").alias("_n"))
     per_class = sized.groupBy(label).agg(F.count("*").alias("docs"), F.sum("_n").alias("words"))
     distinct = (
-        df.select(F.explode(words).alias("w")).distinct().agg(F.count("*").alias("v")).scalar()
+        term_counts(df, words).select("term").distinct().agg(F.count("*").alias("v")).scalar()
     )
     return per_class.agg(
         F.sum("docs").alias("documents"),
@@ -36,29 +37,28 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     The maximum belongs to the last bin. When all values are equal the range is widened by
     one half on both sides.
     """
-    limits = df.agg(
-        F.struct(
-            F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi")
-        ).alias("l")
-    )
-    lo, hi = F.col("l.lo"), F.col("l.hi")
-    flat = hi == lo
+    # One pass over the input; equal values are counted together.
+    values = written(
+        df.groupBy(F.col(column).cast("double").alias("x")).agg(F.count("*").alias("n")),
+        "values",
+    ).filter(F.col("x").isNotNull())
+    limits = values.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    flat = F.col("hi") == F.col("lo")
     limits = limits.select(
         F.struct(
-            F.when(flat, lo - 0.5).otherwise(lo).alias("lo"),
-            F.when(flat, hi + 0.5).otherwise(hi).alias("hi"),
+            F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
+            F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
         ).alias("l")
     )
     width = (F.col("_l.hi") - F.col("_l.lo")) / bins
     placed = (
-        df.filter(F.col(column).isNotNull())
-        .select(F.col(column).cast("double").alias("_x"))
-        .withColumn("_l", limits.scalar())
+        values.withColumn("_l", limits.scalar())
         .select(
-            F.least(F.floor((F.col("_x") - F.col("_l.lo")) / width), F.lit(bins - 1))
-            .cast("int").alias("bin")
+            F.least(F.floor((F.col("x") - F.col("_l.lo")) / width), F.lit(bins - 1))
+            .cast("int").alias("bin"),
+            "n",
         )
-        .groupBy("bin").agg(F.count("*").alias("n"))
+        .groupBy("bin").agg(F.sum("n").alias("n"))
     )
     frame = limits.select(
         F.col("l").alias("_l"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
@@ -75,8 +75,8 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
 def term_cloud(df: DataFrame, tokens: str, size: int = 200) -> DataFrame:
     """``(term, n, weight)`` of the most frequent terms, weight 1 for the first."""
     top = (
-        df.select(F.explode(tokens).alias("term")).groupBy("term")
-        .agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(size)
+        term_counts(df, tokens).groupBy("term")
+        .agg(F.sum("tf").alias("n")).orderBy(F.desc("n"), "term").limit(size)
     )
     best = F.element_at(F.col("_all.n"), 1)
     # At most ``size`` entries in the array.

@@ -12,11 +12,11 @@ from labelloom.operators.lookup import lookup
 from labelloom.storage import written
 
 
-def run_starts(values: str) -> Column:
-    """Positions in a sorted array at which a new value starts."""
+def run_starts(values: str, field: str = "") -> Column:
+    """Positions in a sorted array at which a new value (of ``field``) starts."""
     return F.expr(
         f"CASE WHEN size({values}) > 0 THEN filter(sequence(0, size({values}) - 1), "
-        f"i -> i = 0 or {values}[i] <> {values}[i - 1]) ELSE array() END"
+        f"i -> i = 0 or {values}[i]{field} <> {values}[i - 1]{field}) ELSE array() END"
     )
 
 
@@ -39,11 +39,6 @@ def term_counts(df: DataFrame, tokens: str, *keep: str, term: str = "term") -> D
     )
 
 
-def token_positions(df: DataFrame, tokens: str, *keep: str) -> DataFrame:
-    """``(*keep, pos, word)``: one row per token."""
-    return df.select(*keep, F.posexplode(tokens).alias("pos", "word"))
-
-
 def distinct_words(df: DataFrame, tokens: str, seed: object = "word") -> DataFrame:
     """``(word, uses, word_id)``: ids 1, 2, ... in hash order of the word; 0 is padding.
 
@@ -51,7 +46,7 @@ def distinct_words(df: DataFrame, tokens: str, seed: object = "word") -> DataFra
     lets the ids be given out in parallel.
     """
     words = (
-        df.select(F.explode(tokens).alias("word")).groupBy("word").agg(F.count("*").alias("uses"))
+        term_counts(df, tokens, term="word").groupBy("word").agg(F.sum("tf").alias("uses"))
     )
     # Written first: ranking reads it twice and must not tokenise the corpus twice.
     return written(
@@ -64,18 +59,27 @@ def top_words(df: DataFrame, key: str, tokens: str, num_words: int = 2000) -> Da
 
     Equally frequent words are ranked by first appearance in key order.
     """
+    # Per row: each distinct word once, with its count and first position.
+    pairs = F.transform(F.col(tokens), lambda w, i: F.struct(w.alias("w"), i.alias("p")))
     per_row = (
-        df.select(key, tokens, F.posexplode(tokens).alias("_p", "word"))
-        .select("word", F.col(key).alias("_k"), "_p")
+        df.select(F.col(key).alias("_k"), F.sort_array(pairs).alias("_e"))
+        .withColumn("_at", run_starts("_e", ".w"))
+        .select(
+            "_k",
+            F.expr(
+                "inline(transform(_at, (a, j) -> struct(_e[a].w as word, _e[a].p as p, "
+                "cast(coalesce(get(_at, j + 1), size(_e)) - a as long) as tf)))"
+            ),
+        )
     )
     # Key and position packed into one decimal: a fixed-width buffer keeps the
     # aggregation hash-based, which a struct would not.
     first = F.col("_k").cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col(
-        "_p"
+        "p"
     ).cast("decimal(10,0)")
     ranked = (
         per_row.groupBy("word")
-        .agg(F.count("*").alias("uses"), F.min(first).alias("_first"))
+        .agg(F.sum("tf").alias("uses"), F.min(first).alias("_first"))
         .orderBy(F.desc("uses"), "_first")
         .limit(num_words - 1)
     )

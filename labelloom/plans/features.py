@@ -11,6 +11,7 @@ from labelloom.operators import splits, statistics, vectors, vocabulary, weights
 from labelloom.plans import tables as t
 from labelloom.plans.registry import query
 from labelloom.plans.tables_io import word_vectors
+from labelloom.storage import written
 
 # Shape of an encoded review.
 SENTENCES, WORDS_PER_SENTENCE = 16, 10
@@ -45,12 +46,18 @@ _FREQUENT = (
 )
 
 
+def word_counts(spark, sf):
+    """Written term counts: fitting and weighting both read them."""
+    counts = vocabulary.term_counts(t.words(spark, sf), "tokens", "doc_id")
+    return written(counts, "counts")
+
+
 @query(
     "vec_count",
     f"SELECT doc_id, term, tf FROM ({_COUNTS}) WHERE term IN ({_FREQUENT})",
 )
 def vec_count(spark, sf):
-    counts = vocabulary.term_counts(t.words(spark, sf), "tokens", "doc_id")
+    counts = word_counts(spark, sf)
     return vocabulary.restrict(counts, vocabulary.frequent_terms(counts), "doc_id")
 
 
@@ -69,7 +76,7 @@ def vec_count_all(spark, sf):
     docs = splits.split_random(
         t.words(spark, sf), "doc_id", {"train": _SPLIT_SHARE, "test": 1 - _SPLIT_SHARE}
     )
-    counts = vocabulary.term_counts(docs, "tokens", "doc_id", "split")
+    counts = written(vocabulary.term_counts(docs, "tokens", "doc_id", "split"), "counts")
     fitted = vocabulary.fit_terms(counts.filter(F.col("split") == "train"))
     return vocabulary.restrict(counts, fitted, "doc_id")
 
@@ -98,8 +105,7 @@ def vec_hashing_tf(spark, sf):
     "ELSE 0.0 END, 6) AS weight FROM c JOIN d USING (term), n",
 )
 def vec_idf_spark(spark, sf):
-    docs = t.words(spark, sf)
-    counts = vocabulary.term_counts(docs, "tokens", "doc_id")
+    counts = word_counts(spark, sf)
     total = statistics.scalar_count(t.table(spark, sf, "documents"))
     return weights.spark_idf(counts, "doc_id", total).withColumn("weight", t.rounded("weight"))
 
@@ -120,7 +126,7 @@ def _sql_tfidf(counts: str, keep: str, min_df: int, sublinear: bool) -> str:
     f"({_sql_tfidf(_COUNTS, 'doc_id', 1, False)})",
 )
 def vec_tfidf_l2(spark, sf):
-    counts = vocabulary.term_counts(t.words(spark, sf), "tokens", "doc_id")
+    counts = word_counts(spark, sf)
     total = statistics.scalar_count(t.table(spark, sf, "documents"))
     return weights.tfidf(counts, "doc_id", total).select(
         "doc_id", "term", t.rounded("weight").alias("weight")
@@ -129,7 +135,9 @@ def vec_tfidf_l2(spark, sf):
 
 def gram_weights(spark, sf, *keep):
     """Sublinear TF-IDF over words and word pairs in at least five documents."""
-    counts = vocabulary.term_counts(t.grams(spark, sf, *keep), "tokens", "doc_id", *keep)
+    counts = written(
+        vocabulary.term_counts(t.grams(spark, sf, *keep), "tokens", "doc_id", *keep), "counts"
+    )
     total = statistics.scalar_count(t.table(spark, sf, "documents"))
     return weights.tfidf(counts, "doc_id", total, min_df=5, sublinear=True)
 
@@ -307,21 +315,24 @@ def pooled_documents(spark, sf):
     """``(doc_id, vector)``: mean vector of each document's words that have one."""
     docs = t.review_tokens(spark, sf)
     words = vocabulary.distinct_words(docs, "tokens")
-    ids = vocabulary.encode_known(docs, "doc_id", "tokens", words)
+    ids = vocabulary.kept_sequences(
+        vocabulary.encode_known(docs, "doc_id", "tokens", words)
+    )
     return vectors.pooled(ids, "doc_id", _id_vectors(spark, sf))
 
 
 @query(
     "emb_doc_mean",
-    "SELECT doc_id, CAST(d - 1 AS INTEGER) AS dim, round(avg(value), 6) AS value FROM "
+    "SELECT doc_id, dim, value FROM documents LEFT JOIN "
+    "(SELECT doc_id, CAST(d - 1 AS INTEGER) AS dim, round(avg(value), 6) AS value FROM "
     f"(SELECT doc_id, unnest(tokens) AS word FROM ({t.SQL_REVIEW})) "
     f"JOIN ({_VOCABULARY}) USING (word) JOIN (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) "
     "AS value, generate_subscripts(embedding, 1) AS d FROM embeddings) ON vec_id = word_id "
-    "GROUP BY doc_id, d",
+    "GROUP BY doc_id, d) USING (doc_id)",
 )
 def emb_doc_mean(spark, sf):
     return pooled_documents(spark, sf).select(
-        "doc_id", F.posexplode("vector").alias("dim", "value")
+        "doc_id", F.posexplode_outer("vector").alias("dim", "value")
     ).withColumn("value", t.rounded("value"))
 
 

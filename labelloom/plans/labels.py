@@ -20,7 +20,7 @@ _SOURCE_IDS = (
 
 @query("lbl_first_seen_id", _SOURCE_IDS)
 def lbl_first_seen_id(spark, sf):
-    return labels.first_seen_ids(t.tweets(spark, sf), "author", "tweet_id")
+    return labels.first_seen_ids(t.tweets(spark, sf), "author", "tweet_id").drop("rows")
 
 
 @query(
@@ -122,9 +122,9 @@ _VOCABULARY = t.sql_vocabulary(t.SQL_REVIEW)
 def join_word_ids(spark, sf):
     docs = t.review_tokens(spark, sf)
     table = vocabulary.distinct_words(docs, "tokens")
-    tokens = docs.select("doc_id", F.explode("tokens").alias("word"))
-    return lookup(tokens, table, "word", "doc_id", "uses").groupBy("doc_id").agg(
-        F.count("*").alias("tokens"), F.sum("word_id").alias("id_sum"),
+    counts = vocabulary.term_counts(docs, "tokens", "doc_id", term="word")
+    return lookup(counts, table, "word", "doc_id", "uses").groupBy("doc_id").agg(
+        F.sum("tf").alias("tokens"), F.sum(F.col("tf") * F.col("word_id")).alias("id_sum"),
         F.min("word_id").alias("id_min"), F.max("word_id").alias("id_max"),
     )
 

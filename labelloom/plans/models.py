@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
@@ -13,7 +13,7 @@ from labelloom.functions.arrays import argmax
 from labelloom.plans import tables as t
 from labelloom.plans.features import pooled_documents
 from labelloom.plans.registry import query
-from labelloom.plans.tables_io import SENTENCES, numeric_rows
+from labelloom.plans.tables_io import SENTENCES
 from labelloom.sources import readers, writers
 from labelloom.storage import new_path, written
 
@@ -89,7 +89,6 @@ def ml_linear_svc(spark, sf):
 
 
 _TRAIN = f"{t.sql_hash('doc_id', 100)} < '{hash_threshold(0.7)}'"
-_NB_DOCS = f"SELECT * FROM ({t.SQL_WORDS})"
 _NB_COUNTS = t.sql_counts(t.SQL_WORDS, "lang")
 _NB = (
     f"WITH c AS ({_NB_COUNTS}), tr AS (SELECT * FROM c WHERE {_TRAIN}), "
@@ -146,14 +145,6 @@ def top_weight_per_class(spark, sf):
     return weights.top_per_group(table, ["lang"], "theta").select("lang", "rank", "term", "theta")
 
 
-def gram_features(spark, sf):
-    """``(doc_id, features, label)`` of TF-IDF over words and pairs, and the terms."""
-    from labelloom.plans.features import gram_weights
-
-    weighted = written(gram_weights(spark, sf, "lang"), "gram-weights")
-    return weighted
-
-
 @query("top_coef_per_class")
 def top_coef_per_class(spark, sf):
     """Two words and two word pairs with the highest weight in a linear model per class."""
@@ -161,12 +152,9 @@ def top_coef_per_class(spark, sf):
     counts = vocabulary.term_counts(docs, "tokens", "doc_id")
     terms = vocabulary.frequent_terms(counts)
     names = [r["term"] for r in terms.orderBy("term_id").collect()]  # at most 10,000
-    counter = CountVectorizerModel.from_vocabulary(names, inputCol="tokens", outputCol="features")
-    from pyspark.ml.feature import IDF, Normalizer, StringIndexer
-
     stages = Pipeline(
         stages=[
-            counter.setOutputCol("counts"),
+            CountVectorizerModel.from_vocabulary(names, inputCol="tokens", outputCol="counts"),
             IDF(inputCol="counts", outputCol="weighted"),
             Normalizer(inputCol="weighted", outputCol="features"),
             StringIndexer(inputCol="lang", outputCol="label"),

@@ -38,7 +38,7 @@ def agg_label_nonnull(spark, sf):
 )
 def agg_label_dim(spark, sf):
     ids = labels.first_seen_ids(t.table(spark, sf, "documents"), "source", "doc_id")
-    return ids.orderBy("label_id")
+    return ids.drop("rows").orderBy("label_id")
 
 
 @query(

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.functions import text as T
+from labelloom.storage import spread
 
 # ---------------------------------------------------------------------------
 # Spark side
@@ -21,9 +22,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Columns of the documents, on all cores."""
+    return spread(table(spark, sf, "documents").select(*columns), "doc_id")
+
+
 def tweets(spark: SparkSession, sf: str) -> DataFrame:
     """``(tweet_id, sentiment, author, content)``."""
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf, "doc_id", "lang", "source", "text").select(
         F.col("doc_id").alias("tweet_id"), F.col("lang").alias("sentiment"),
         F.col("source").alias("author"), F.col("text").alias("content"),
     )
@@ -39,19 +45,21 @@ def noisy_text() -> Column:
 
 def noisy(spark: SparkSession, sf: str) -> DataFrame:
     """``(doc_id, content)`` with text that exercises the cleaners."""
-    return table(spark, sf, "documents").select("doc_id", noisy_text().alias("content"))
+    return documents(spark, sf, "doc_id", "lang", "text").select(
+        "doc_id", noisy_text().alias("content")
+    )
 
 
 def words(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
     """``(doc_id, *keep, tokens)``: lower-case words of the cleaned documents."""
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf, "doc_id", *keep, "text").select(
         "doc_id", *keep, T.word_tokens(F.col("text")).alias("tokens")
     )
 
 
 def review_tokens(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
     """``(doc_id, *keep, tokens)``: words of the documents read as review files."""
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf, "doc_id", *keep, "text").select(
         "doc_id", *keep, T.review_words(F.col("text")).alias("tokens")
     )
 
@@ -60,7 +68,7 @@ def grams(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
     """``(doc_id, *keep, tokens)``: words of two or more letters without stop words, and pairs."""
     kept = T.long_words(T.word_tokens(F.col("text")))
     return (
-        table(spark, sf, "documents").select("doc_id", *keep, kept.alias("_t"))
+        documents(spark, sf, "doc_id", *keep, "text").select("doc_id", *keep, kept.alias("_t"))
         .select("doc_id", *keep, T.unigrams_bigrams(F.col("_t")).alias("tokens"))
     )
 

@@ -157,10 +157,12 @@ def src_inline_rows(spark, sf):
     asked = inline.select(
         "id", "content", F.explode(F.array_distinct(T.word_tokens(F.col("content")))).alias("word")
     )
-    used = vocabulary.document_frequency(
-        vocabulary.term_counts(t.words(spark, sf), "tokens", "doc_id", term="word"), "word"
+    # The sentences are a fixed handful of words; other words are dropped before counting.
+    found = t.words(spark, sf).select(F.explode(F.array_distinct("tokens")).alias("word"))
+    used = (
+        found.join(F.broadcast(asked.select("word")), "word", "left_semi")
+        .groupBy("word").agg(F.count("*").alias("df"))
     )
-    # The sentences are a fixed handful of words.
     return used.join(F.broadcast(asked), "word", "right").select(
         "id", "content", "word", F.coalesce("df", F.lit(0)).alias("documents")
     )
