@@ -86,11 +86,13 @@ def value_buckets(df: DataFrame, column: str, buckets: int = RANGE_BUCKETS) -> D
     use of the result sees the same ranges.
     """
     shares = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(df.approxQuantile(column, shares, 1 / buckets)))
+    cuts = sorted(set(df.approxQuantile(column, shares, 1 / buckets))) if shares else []
+    if not cuts:
+        return df.withColumn("_b", F.lit(0.0))
     return Bucketizer(
         splits=[-math.inf, *cuts, math.inf], inputCol=column, outputCol="_b",
         handleInvalid="keep",
-    ).transform(df) if cuts else df.withColumn("_b", F.lit(0.0))
+    ).transform(df)
 
 
 def key_rank(

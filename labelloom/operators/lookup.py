@@ -48,14 +48,19 @@ def lookup(
         hot = table.filter(F.col(weight) * F.lit(HOT_KEYS) >= total).select(
             on, entry.alias("_hot")
         )
-    cold = table.select(F.col(on).alias("_on"), F.lit(0).alias("_s"), entry.alias("_cold"))
+
+    def bucket(name: str):
+        return F.pmod(F.xxhash64(name), F.lit(4096))
+
+    # Settled rows get a bucket beyond those of the table, taken from ``spread``: they match
+    # nothing and go to all tasks. (A constant salt would be folded away by the optimizer.)
     settled = F.col("_hot").isNotNull() | F.col(on).isNull()
     answered = facts.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt",
-        F.when(settled, F.pmod(F.xxhash64(spread), F.lit(4096)) + 1).otherwise(0).cast("int"),
+        "_bucket", F.when(settled, bucket(spread) + 4096).otherwise(bucket(on))
     )
+    cold = table.select(F.col(on).alias("_on"), bucket(on).alias("_b"), entry.alias("_cold"))
     joined = answered.join(
-        cold, (answered[on] == cold["_on"]) & (answered["_salt"] == cold["_s"]), "left"
+        cold, (answered[on] == cold["_on"]) & (answered["_bucket"] == cold["_b"]), "left"
     ).withColumn("_entry", F.coalesce("_hot", "_cold"))
     if how == "inner":
         joined = joined.filter(F.col("_entry").isNotNull())
