@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -33,6 +35,9 @@ CV_FOLDS = 5
 FOREST_SPARK = {"numTrees": 100, "maxDepth": 4, "maxBins": 32}
 FOREST_WIDE = {"numTrees": 200, "maxDepth": 3}
 
+# An iteration's task should have at least about this many rows.
+ROWS_PER_TASK = 5_000
+
 
 def _tokens(text: str, as_gaps: bool) -> list:
     if as_gaps:
@@ -114,18 +119,25 @@ def perceptron(inputs: int, hidden: int, classes: int, **params):
     )
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Keep rows across the passes of an iterative fit; spills to disk, recomputed if lost."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """Keep rows across the passes of iterative fits; spills to disk, recomputed if lost.
+
+    Few rows are gathered into few partitions, since every iteration starts a task for each
+    of them; with more rows the partitions stay as they are.
+    """
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        wanted = math.ceil(cached.count() / ROWS_PER_TASK)
+        yield cached.coalesce(max(1, wanted))
+    finally:
+        cached.unpersist()
 
 
 def fit_kept(estimator: Estimator, rows: DataFrame) -> Model:
     """Fit on rows that stay cached for the duration of the fit only."""
-    cached = kept(rows)
-    try:
+    with kept(rows) as cached:
         return estimator.fit(cached)
-    finally:
-        cached.unpersist()
 
 
 def evaluator(metric: str = "f1") -> MulticlassClassificationEvaluator:
@@ -170,9 +182,8 @@ def compare_models(
     distributed job; only the finished accuracies reach the driver.
     """
     spark = rows.sparkSession
-    cached = kept(rows)
     entries = []
-    try:
+    with kept(rows) as cached:
         for name, estimator in estimators.items():
             for i in range(folds):
                 model = estimator.fit(cached.filter(F.col(fold) != i))
@@ -181,8 +192,6 @@ def compare_models(
                     F.avg((F.col("prediction") == F.col("label")).cast("double"))
                 ).first()[0]
                 entries.append((name, i, hit))
-    finally:
-        cached.unpersist()
     return spark.createDataFrame(entries, "model_name string, fold_idx int, accuracy double")
 
 

@@ -7,13 +7,14 @@ from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer, StringInde
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from labelloom.operators import bayes, evaluation, shards, splits, training, vocabulary, weights
+from labelloom.operators import (
+    bayes, evaluation, shards, splits, training, vectors, vocabulary, weights,
+)
 from labelloom.operators.keyed import hash_threshold
 from labelloom.functions.arrays import argmax
 from labelloom.plans import tables as t
-from labelloom.plans.features import pooled_documents
 from labelloom.plans.registry import query
-from labelloom.plans.tables_io import SENTENCES
+from labelloom.plans.tables_io import SENTENCES, word_vectors
 from labelloom.sources import readers, writers
 from labelloom.storage import new_path, written
 
@@ -246,10 +247,19 @@ def ml_score_batch(spark, sf):
 
 @query("ml_doc_network")
 def ml_doc_network(spark, sf):
-    """A neural classifier over pooled word vectors."""
+    """A neural classifier over pooled word vectors; every word of the corpus has one."""
     marks = t.table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
-    rows = pooled_documents(spark, sf).join(marks, "doc_id").select(
-        "doc_id", "label", array_to_vector("vector").alias("features")
+    docs = t.review_tokens(spark, sf)
+    words = vocabulary.distinct_words(docs, "tokens")
+    full = written(
+        vectors.vocabulary_vectors(words, word_vectors(spark, sf, words), 64), "word-vectors"
+    )
+    ids = vocabulary.kept_sequences(vocabulary.encode_known(docs, "doc_id", "tokens", words))
+    means = vectors.pooled(ids, "doc_id", full.select("word_id", "uses", "vector"), "uses")
+    # A document without words has no vector; it counts as the zero vector.
+    vector = F.coalesce("vector", F.array_repeat(F.lit(0.0), 64))
+    rows = means.join(marks, "doc_id").select(
+        "doc_id", "label", array_to_vector(vector).alias("features")
     )
     parts = splits.split_random(rows, "doc_id", {"train": 0.7, "test": 0.3}, seed=100)
     train, test = _parts(parts)
