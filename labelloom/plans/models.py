@@ -12,9 +12,10 @@ from labelloom.operators import (
 )
 from labelloom.operators.keyed import hash_threshold
 from labelloom.functions.arrays import argmax
+from labelloom.functions.text import TOKENIZER_STOP_WORDS
 from labelloom.plans import tables as t
 from labelloom.plans.registry import query
-from labelloom.plans.tables_io import SENTENCES, word_vectors
+from labelloom.plans.tables_io import SENTENCES, SQL_SENTENCES, word_vectors
 from labelloom.sources import readers, writers
 from labelloom.storage import new_path, written
 
@@ -46,7 +47,34 @@ def _report(scored):
     return scored.select("tweet_id", "sentiment", "label", "prediction", "predicted")
 
 
-@query("ml_features_count")
+# The count features in SQL: words of the lower-cased text without the listed stop words;
+# terms of at least five training documents; labels by training frequency.
+_STOPS = "[" + ", ".join(t.quoted(w) for w in dict.fromkeys(TOKENIZER_STOP_WORDS)) + "]"
+_TRAIN = f"{t.sql_hash('doc_id', 100)} < '{hash_threshold(0.7)}'"
+_ML_DOCS = (
+    f"SELECT doc_id, lang, {_TRAIN} AS train, "
+    "list_filter(regexp_extract_all(lower(text), '[0-9a-z]+'), "
+    f"lambda w: NOT list_contains({_STOPS}, w)) AS tokens FROM documents"
+)
+_ML = (
+    f"WITH d AS MATERIALIZED ({_ML_DOCS}), "
+    "a AS (SELECT doc_id, lang, train, term, count(*) AS tf FROM "
+    "(SELECT doc_id, lang, train, unnest(tokens) AS term FROM d) GROUP BY ALL), "
+    "w AS (SELECT term FROM a WHERE train GROUP BY term HAVING count(*) >= 5 "
+    "ORDER BY sum(tf) DESC, term LIMIT 10000), "
+    "c AS (SELECT * FROM a SEMI JOIN w USING (term)), "
+    "k AS (SELECT lang, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, lang) - 1 "
+    "AS DOUBLE) AS label FROM d WHERE train GROUP BY lang) "
+)
+
+
+@query(
+    "ml_features_count",
+    _ML + "SELECT d.doc_id AS tweet_id, CASE WHEN d.train THEN 'train' ELSE 'test' END AS split, "
+    "lang AS sentiment, label, CAST(len(tokens) AS INTEGER) AS tokens, "
+    "CAST(coalesce((SELECT sum(tf) FROM c WHERE c.doc_id = d.doc_id), 0) AS DOUBLE) AS counted "
+    "FROM d JOIN k USING (lang)",
+)
 def ml_features_count(spark, sf):
     """Tokenise, drop stop words, count terms, index the label."""
     _, rows = count_features(spark, sf)
@@ -73,7 +101,26 @@ def ml_logreg(spark, sf):
     return _report(_fit_and_score(spark, sf, training.logistic_regression()))
 
 
-@query("ml_naive_bayes")
+_ML_NB = (
+    _ML + ", m AS (SELECT lang, sum(tf) AS mass FROM c WHERE train GROUP BY lang), "
+    "pi AS (SELECT lang, label, ln(n + 1.0::DOUBLE) - ln((SELECT sum(n) + count(*) FROM k)::DOUBLE) "
+    "AS pi, ln((mass + (SELECT count(*) FROM w))::DOUBLE) AS bottom FROM k JOIN m USING (lang)), "
+    "tc AS (SELECT term, lang, sum(tf) AS tf FROM c WHERE train GROUP BY term, lang), "
+    "th AS (SELECT w.term, pi.lang, ln(coalesce(tc.tf, 0) + 1.0::DOUBLE) - bottom AS theta "
+    "FROM w CROSS JOIN pi LEFT JOIN tc ON tc.term = w.term AND tc.lang = pi.lang) "
+)
+
+
+@query(
+    "ml_naive_bayes",
+    _ML_NB + ", s AS (SELECT doc_id, th.lang, sum(tf * theta) AS s FROM c JOIN th USING (term) "
+    "WHERE NOT train GROUP BY ALL), "
+    "b AS (SELECT d.doc_id, arg_max(pi.label, coalesce(s.s, 0) + pi.pi) AS prediction FROM d "
+    "CROSS JOIN pi LEFT JOIN s ON s.doc_id = d.doc_id AND s.lang = pi.lang "
+    "WHERE NOT d.train GROUP BY d.doc_id) "
+    "SELECT d.doc_id AS tweet_id, d.lang AS sentiment, k.label, b.prediction, p.lang AS predicted "
+    "FROM b JOIN d USING (doc_id) JOIN k ON k.lang = d.lang JOIN k p ON p.label = b.prediction",
+)
 def ml_naive_bayes(spark, sf):
     return _report(_fit_and_score(spark, sf, training.naive_bayes()))
 
@@ -89,7 +136,6 @@ def ml_linear_svc(spark, sf):
     return _report(_fit_and_score(spark, sf, training.linear_svc(maxIter=20)))
 
 
-_TRAIN = f"{t.sql_hash('doc_id', 100)} < '{hash_threshold(0.7)}'"
 _NB_COUNTS = t.sql_counts(t.SQL_WORDS, "lang")
 _NB = (
     f"WITH c AS ({_NB_COUNTS}), tr AS (SELECT * FROM c WHERE {_TRAIN}), "
@@ -202,7 +248,16 @@ def ml_compare_models(spark, sf):
     )
 
 
-@query("ml_score_adhoc")
+@query(
+    "ml_score_adhoc",
+    _ML_NB + f", q AS (SELECT * FROM ({SQL_SENTENCES})), "
+    "u AS (SELECT id, unnest(regexp_extract_all(lower(content), '[0-9a-z]+')) AS term FROM q), "
+    "s AS (SELECT id, lang, sum(theta) AS s FROM u JOIN th USING (term) "
+    f"WHERE NOT list_contains({_STOPS}, term) GROUP BY ALL) "
+    "SELECT q.id AS doc_id, q.content, arg_max(pi.lang, coalesce(s.s, 0) + pi.pi) "
+    "AS predicted_sentiment FROM q CROSS JOIN pi LEFT JOIN s ON s.id = q.id AND s.lang = pi.lang "
+    "GROUP BY ALL",
+)
 def ml_score_adhoc(spark, sf):
     """Label names for literal sentences, through the stages fitted on the documents."""
     fitted, rows = count_features(spark, sf)

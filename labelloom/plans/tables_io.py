@@ -138,7 +138,7 @@ SENTENCES = [
     "I am so happy about the results.",
     "Filthy people.",
 ]
-_SQL_SENTENCES = "SELECT * FROM (VALUES " + ", ".join(
+SQL_SENTENCES = "SELECT * FROM (VALUES " + ", ".join(
     f"(CAST({i} AS BIGINT), {t.quoted(s)})" for i, s in enumerate(SENTENCES)
 ) + ") AS s(id, content)"
 
@@ -146,7 +146,7 @@ _SQL_SENTENCES = "SELECT * FROM (VALUES " + ", ".join(
 @query(
     "src_inline_rows",
     f"WITH w AS (SELECT DISTINCT id, content, unnest({t.sql_word_tokens('content')}) AS word "
-    f"FROM ({_SQL_SENTENCES})), "
+    f"FROM ({SQL_SENTENCES})), "
     f"df AS (SELECT word, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest(tokens) AS word "
     f"FROM ({t.SQL_WORDS})) GROUP BY word) "
     "SELECT id, content, word, coalesce(n, 0) AS documents FROM w LEFT JOIN df USING (word)",
