@@ -48,14 +48,17 @@ shouldn't wasn wasn't weren weren't won won't wouldn wouldn't
 _WORD = r"[\p{L}\p{N}_]"
 _SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"
 _NOT_SPACE = r"[^\s\p{Z}\x1c-\x1f\x85]"
-_UNICODE_TWEET_NOISE = (
-    TWEET_NOISE.replace(r"\w", _WORD).replace(r"\S", _NOT_SPACE)
+# The tweet noise for replacing by blanks that are collapsed afterwards. Same matches, but
+# runs are taken at once, and \p{Alnum} is many times faster than the ranges it stands for.
+_TWEET_NOISE_RUNS = (
+    r"@\p{Alnum}*+|[^\p{Alnum} \t@]+|\p{Alnum}" + _WORD + r"*+:\/\/" + _NOT_SPACE + "+"
 )
+_REVIEW_FOREIGN_FAST = REVIEW_FOREIGN.replace("A-Za-z0-9", r"\p{Alnum}")
 
 
 def clean_tweet(text: Column) -> Column:
     """Noise becomes blanks, runs of blanks collapse, ends are trimmed."""
-    blanked = F.regexp_replace(text, _UNICODE_TWEET_NOISE, " ")
+    blanked = F.regexp_replace(text, _TWEET_NOISE_RUNS, " ")
     return F.trim(F.regexp_replace(blanked, r"[ \t]+", " "))
 
 
@@ -68,7 +71,7 @@ def clean_review(text: Column, faithful: bool = False) -> Column:
     """
     marks = "".join(REVIEW_MARKS)
     escaped = "".join(REVIEW_ESCAPED_MARKS)
-    out = F.regexp_replace(text, REVIEW_FOREIGN, " ")
+    out = F.regexp_replace(text, _REVIEW_FOREIGN_FAST, " ")
     out = F.regexp_replace(out, "(" + "|".join(REVIEW_SUFFIXES) + ")", " $1")
     if faithful:
         out = F.regexp_replace(out, f"([{marks}])", " $1 ")
@@ -100,7 +103,7 @@ def review_words(text: Column, faithful: bool = False) -> Column:
     """
     words = F.split(clean_review(file_body(text), faithful), "[ \n]", -1)
     words = F.when(text == "", F.array().cast("array<string>")).otherwise(words)
-    return words if faithful else F.filter(words, lambda w: w != "")
+    return words if faithful else F.array_remove(words, "")
 
 
 def strip_stop_words(text: Column, stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> Column:
@@ -120,7 +123,7 @@ def squeeze_lower(text: Column) -> Column:
 def split_space(text: Column, faithful: bool = False) -> Column:
     """Split on single blanks; ``faithful`` keeps the empty token of an empty text."""
     words = F.split(text, " ", -1)
-    return words if faithful else F.filter(words, lambda w: w != "")
+    return words if faithful else F.array_remove(words, "")
 
 
 def word_tokens(text: Column) -> Column:
@@ -130,7 +133,7 @@ def word_tokens(text: Column) -> Column:
 
 def gap_tokens(text: Column) -> Column:
     """Pieces between tweet noise: the cleaning pattern used as a separator."""
-    return F.filter(F.split(F.lower(text), TWEET_NOISE), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), TWEET_NOISE), "")
 
 
 def drop_words(tokens: Column, words: Sequence[str]) -> Column:

@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _DIR = "spark.checkpoint.dir"
+_own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,11 +21,12 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get(_DIR, None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError(f"set {_DIR} to a folder that every executor can reach")
-    own = tempfile.mkdtemp(prefix="labelloom-")
-    spark.conf.set(_DIR, own)
-    return own
+    if context.applicationId not in _own_dirs:
+        _own_dirs[context.applicationId] = tempfile.mkdtemp(prefix="labelloom-")
+    return _own_dirs[context.applicationId]
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +115,15 @@ def test_preview_and_schema(spark):
     df = spark.range(20).withColumnRenamed("id", "k")
     assert [r["k"] for r in writers.preview(df, "k", 3).collect()] == [0, 1, 2]
     assert writers.schema_table(df) == [("k", "bigint")]
+
+
+@pytest.mark.parametrize("master", ["local[4]", "spark://host:7077"])
+def test_only_a_local_session_gets_its_own_folder(master):
+    context = SimpleNamespace(master=master, applicationId=f"app-{master}")
+    conf = SimpleNamespace(get=lambda key, default: default)
+    session = SimpleNamespace(conf=conf, sparkContext=context)
+    if master.startswith("local"):
+        assert storage.shared_dir(session) == storage.shared_dir(session)
+    else:
+        with pytest.raises(ValueError):
+            storage.shared_dir(session)
