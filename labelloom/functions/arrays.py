@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,7 +58,3 @@ def cross_entropy_one_hot(scores: Column, target: Column) -> Column:
     )
     mass = F.aggregate(target, F.lit(0.0), lambda acc, t: acc + t)
     return (F.log(total) + top) * mass - picked
-
-
-def vector_of(columns: Sequence[str]) -> Column:
-    return F.array(*[F.col(c).cast("double") for c in columns])

@@ -38,7 +38,6 @@ def voc_top_n(spark, sf):
     return vocabulary.top_words(t.words(spark, sf), "doc_id", "tokens")
 
 
-# Stop words of the tokenising pipeline do not matter for the counts' check; words do.
 _COUNTS = t.sql_counts(t.SQL_WORDS)
 _FREQUENT = (
     f"SELECT term FROM ({_COUNTS}) GROUP BY term HAVING count(*) >= 5 "
