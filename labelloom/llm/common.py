@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import io
 import math
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import labelloom
+from labelloom.storage import new_path
+
 # Words are runs of characters other than space, tab, line feed, vertical tab, form feed
 # and carriage return; all other characters belong to words.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -55,3 +62,34 @@ def ordered_parts(
         inside = (probe <= len(cuts)) & (F.get(bounds, probe - 1) <= F.col(key))
         low = F.when(inside, probe).otherwise(low)
     return docs.withColumn("part", F.coalesce(low, F.lit(0)).cast("int")), len(cuts) + 1
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the Python workers of all executors import this package.
+
+    The package goes as an archive to the shared folder and from there to the executors,
+    once per application.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    target = new_path(spark, "package") + ".zip"
+    root = Path(labelloom.__file__).parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, str(file.relative_to(root.parent)))
+    system, path = filesystem(target)
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(path) as sink:
+        sink.write(packed.getvalue())
+    context.addPyFile(target)
+    _shipped.add(context.applicationId)
+
+
+def filesystem(path: str):
+    """The file system of a path or URI, and the path in it."""
+    return fs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
