@@ -154,7 +154,8 @@ def assign(docs: DataFrame, key: str, shards: int, seed: int = 11) -> DataFrame:
 def mix(docs: DataFrame, key: str, shards: int, seed: int = 11) -> DataFrame:
     """The mixed rows: every row once per draw, with ``pass``, ``shard`` and ``order``.
 
-    ``order`` is the row's place in its shard's local shuffle; sort a shard by it.
+    ``order`` is the row's place in its shard's local shuffle. Rows of a shard are together
+    and in that order, so written files hold whole stretches of the mix.
     """
     return (
         assign(docs, key, shards, seed)
@@ -162,6 +163,8 @@ def mix(docs: DataFrame, key: str, shards: int, seed: int = 11) -> DataFrame:
         .select("*", F.col("_d.pass").alias("pass"), F.col("_d.shard").alias("shard"))
         .withColumn("order", F.xxhash64(F.lit(seed), "pass", F.col(key)))
         .drop("_d", "draws")
+        .repartition(shards, "shard")
+        .sortWithinPartitions("shard", "order")
     )
 
 
