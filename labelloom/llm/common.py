@@ -30,14 +30,14 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def part_count(docs: DataFrame, text: str = "text", part_bytes: int = PART_BYTES) -> int:
+def part_count(docs: DataFrame, text: str = "text", part_bytes: int | None = None) -> int:
     """Number of parts of about ``part_bytes`` that the texts make; 1 at least."""
     total = docs.agg(F.sum(F.octet_length(F.col(text)) + 64).alias("b")).first()["b"] or 0
-    return max(1, math.ceil(total / part_bytes))
+    return max(1, math.ceil(total / (part_bytes or PART_BYTES)))
 
 
 def ordered_parts(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES
+    docs: DataFrame, key: str = "doc_id", text: str = "text", part_bytes: int | None = None
 ) -> tuple[DataFrame, int]:
     """Add ``part``: 0, 1, ... in the order of ``key``, each with about as many rows.
 

@@ -2,15 +2,18 @@
 
 Words are lower-cased and freed of punctuation; five in a row are a shingle. Of a text only
 shingles that some template has are looked at any further, which leaves nothing of most
-texts. Overlapping windows of the rest get MinHash values, one per band, and templates with
-an equal value in some band are retrieved. With 48 bands of one value, a template that makes
-up a share s of a window's template shingles is found with probability 1 - (1 - s)**48:
-over 0.99999 for s of 0.22 or more. Retrieved templates are verified exactly: the window
-must contain at least 80 % of the template's shingles.
+texts. Templates fall into classes by size: up to 1, 2, 4, 8, ... shingles. For each class,
+windows of twice its size overlap by half, so a template always lies inside one, and what
+it shares with the window is a fifth of the two at least: of 2c places in the window, c
+over two or more belong to the template, and four fifths of these must be there. Windows
+and templates have 64 bands of one MinHash value each; a template with an equal value in
+some band is retrieved. One that shares a fifth is missed with probability 0.8**64, less
+than one in a million. Retrieved templates are verified exactly: the window must contain at
+least 80 % of the template's shingles.
 
 Defined cases: null and empty texts match nothing; rows that repeat an id are scanned one by
 one and give a match per row; rows without an id give matches without one; a template must
-have five words at least and fit half a window. Extra columns are ignored.
+have five words at least. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,9 +24,7 @@ from pyspark.sql import functions as F
 from labelloom.plans.registry import query
 
 SHINGLE = 5
-WINDOW = 256
-STEP = WINDOW // 2
-BANDS = 48
+BANDS = 64
 CONTAINED = 0.8
 MARKS = ".,;:()[]{}<>\"'!?/*#\t\n\r\x0b\x0c"
 # Public license notices.
@@ -64,12 +65,15 @@ def _bands(shingles: str) -> Column:
 
 
 def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
-    """``(license, notice, shingles)``: as many rows as templates."""
+    """``(license, notice, shingles, c)``: as many rows as templates; ``c`` is the size class."""
     rows = spark.range(1).select(F.explode(F.array(*[
         F.struct(F.lit(n).alias("license"), F.lit(i).alias("notice"), F.lit(t).alias("text"))
         for i, (n, t) in enumerate(templates)
     ])).alias("t")).select("t.*")
-    return _with_shingles(rows, "text", "shingles").select("license", "notice", F.array_distinct("shingles").alias("shingles"))
+    size = F.pow(F.lit(2), F.ceil(F.log2(F.size("shingles")))).cast("int")
+    return _with_shingles(rows, "text", "_s").select(
+        "license", "notice", F.array_distinct("_s").alias("shingles")
+    ).withColumn("c", size)
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -81,27 +85,40 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: li
     table = template_table(spark, templates or TEMPLATES)
     # A few hundred hashes, as many as the given templates have shingles.
     known = table.collect()
-    if any(not r["shingles"] or len(r["shingles"]) > STEP for r in known):
-        raise ValueError(f"a template must have {SHINGLE} to {STEP} words")
-    universe = sorted({h for r in known for h in r["shingles"]})
-    found = F.filter(
-        F.transform("_s", lambda h, i: F.struct(i.alias("i"), h.alias("h"))), lambda e: e["h"].isin(universe)
-    )
-    hit = (
-        _with_shingles(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", "_s")
+    if any(not r["shingles"] for r in known):
+        raise ValueError(f"a template must have {SHINGLE} words")
+    classes: dict[int, set[int]] = {}
+    for r in known:
+        classes.setdefault(r["c"], set()).update(r["shingles"])
+    universe = sorted(set().union(*classes.values()))
+    places = F.transform("_s", lambda h, i: F.struct(i.alias("i"), h.alias("h")))
+    hit = _with_shingles(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", "_s").select(
+        "key", F.filter(places, lambda e: e["h"].isin(universe)).alias("e"),
         # Beside the row's number the filter stays above the arrays that it looks at.
-        .select("key", found.alias("e"), F.monotonically_increasing_id().alias("row")).filter(F.size("e") > 0)
-    )
-    numbers = F.array_distinct(F.flatten(F.transform("e", lambda e: F.array(F.floor(e["i"] / STEP), F.greatest(F.floor(e["i"] / STEP) - 1, F.lit(0))))))
+        F.monotonically_increasing_id().alias("row"),
+    ).filter(F.size("e") > 0)
+
+    def one_class(size: int):
+        some = sorted(classes[size])
+        return F.struct(F.lit(size).alias("c"), F.filter("e", lambda x: x["h"].isin(some)).alias("e"))
+
+    by_class = F.array(*map(one_class, sorted(classes)))
+    c, n = F.col("c"), F.col("n")
+    numbers = F.array_distinct(F.flatten(F.transform(
+        "e", lambda x: F.array(F.floor(x["i"] / c), F.greatest(F.floor(x["i"] / c) - 1, F.lit(0)))
+    )))
     windows = (
-        hit.select("row", "key", "e", F.explode(numbers).alias("n"))
-        .withColumn("e", F.filter("e", lambda x: (x["i"] >= F.col("n") * STEP) & (x["i"] < F.col("n") * STEP + WINDOW)))
-        .select("row", "key", "n", F.array_distinct(F.col("e.h")).alias("own"), F.element_at("e", 1)["i"].alias("word"))
+        hit.select("row", "key", F.explode(by_class).alias("x")).select("row", "key", "x.c", "x.e")
+        .select("row", "key", "c", "e", F.explode(numbers).alias("n"))
+        .withColumn("e", F.filter("e", lambda x: (x["i"] >= n * c) & (x["i"] < (n + 2) * c)))
+        .select("row", "key", "c", "n", F.array_distinct(F.col("e.h")).alias("own"), F.element_at("e", 1)["i"].alias("word"))
     )
+    banded = table.select("license", "notice", "c", "shingles", F.explode(_bands("shingles")).alias("x"))
     retrieved = (
-        windows.select("*", F.explode(_bands("own")).alias("x")).select("row", "key", "n", "own", "word", "x.b", "x.v")
+        windows.select("*", F.explode(_bands("own")).alias("x"))
+        .select("row", "key", "c", "n", "own", "word", "x.b", "x.v")
         # Templates times bands, whatever the size of the data.
-        .join(F.broadcast(table.select("license", "notice", "shingles", F.explode(_bands("shingles")).alias("x")).select("license", "notice", "shingles", "x.b", "x.v")), ["b", "v"])
+        .join(F.broadcast(banded.select("license", "notice", "c", "shingles", "x.b", "x.v")), ["c", "b", "v"])
     )
     share = F.size(F.array_intersect("own", "shingles")) / F.size("shingles")
     return (
@@ -120,17 +137,18 @@ def _sql() -> str:
 WITH tw AS (SELECT notice, license, {words('t')} AS w FROM (VALUES {rows}) AS v(notice, license, t)),
 ts AS (SELECT DISTINCT notice, license, w[i:i + {SHINGLE - 1}] AS g FROM tw, unnest(generate_series(1, len(w) - {SHINGLE - 1})) AS u(i)),
 size AS (SELECT notice, count(*) AS total FROM ts GROUP BY notice),
+class AS (SELECT DISTINCT g, pow(2, ceil(log2(total)))::BIGINT AS c FROM ts JOIN size USING (notice)),
 dw AS (SELECT doc_id, {words('text')} AS w FROM documents),
 ds AS (SELECT doc_id, i - 1 AS i, w[i:i + {SHINGLE - 1}] AS g FROM dw, unnest(generate_series(1, len(w) - {SHINGLE - 1})) AS u(i)),
-hit AS (SELECT doc_id, i, g FROM ds WHERE g IN (SELECT g FROM ts)),
-win AS (SELECT DISTINCT doc_id, i, g, n FROM (SELECT *, unnest([i // {STEP}, greatest(i // {STEP} - 1, 0)]) AS n FROM hit)),
-inside AS (SELECT * FROM win WHERE i >= n * {STEP} AND i < n * {STEP} + {WINDOW}),
-first AS (SELECT doc_id, n, min(i) AS word FROM inside GROUP BY ALL),
+hit AS (SELECT doc_id, i, g, c FROM ds JOIN class USING (g)),
+win AS (SELECT DISTINCT doc_id, i, g, c, n FROM (SELECT *, unnest([i // c, greatest(i // c - 1, 0)]) AS n FROM hit)),
+inside AS (SELECT * FROM win WHERE i >= n * c AND i < (n + 2) * c),
+first AS (SELECT doc_id, c, n, min(i) AS word FROM inside GROUP BY ALL),
 share AS (
-  SELECT doc_id, n, license, notice, round(count(DISTINCT inside.g)::DOUBLE / any_value(total), 6) AS containment
-  FROM inside JOIN ts USING (g) JOIN size USING (notice) GROUP BY ALL)
+  SELECT doc_id, c, n, license, notice, round(count(DISTINCT inside.g)::DOUBLE / any_value(total), 6) AS containment
+  FROM inside JOIN ts USING (g) JOIN size USING (notice) WHERE c = pow(2, ceil(log2(total)))::BIGINT GROUP BY ALL)
 SELECT doc_id, license, notice::INTEGER AS notice, max(containment) AS containment, min(word)::BIGINT AS word
-FROM share JOIN first USING (doc_id, n) WHERE containment >= {CONTAINED} GROUP BY doc_id, license, notice
+FROM share JOIN first USING (doc_id, c, n) WHERE containment >= {CONTAINED} GROUP BY doc_id, license, notice
 """
 
 

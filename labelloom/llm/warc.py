@@ -136,7 +136,6 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
         # What stands before the first version line of a file is no candidate: offset below 0.
         .withColumn("offset", F.col("before") + F.col("inside") - mark)
         .withColumn("next", F.when(F.col("offset") >= 0, F.col("offset") + mark + F.col("head") + F.col("length") + 4))
-        .withColumn("zone", F.floor(F.col("offset") / ZONE_BYTES).cast("long"))
         .drop("before", "inside")
     )
 
@@ -152,8 +151,7 @@ def _jumps(offset: np.ndarray, following: np.ndarray, end: int) -> tuple[np.ndar
 
 def _columns(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, int]:
     table = table.sort_by("offset")
-    offset = table.column("offset").to_numpy()
-    return table, offset, table.column("next").to_numpy(), (int(table.column("zone")[0].as_py()) + 1) * ZONE_BYTES
+    return table, table.column("offset").to_numpy(), table.column("next").to_numpy(), table.column("end")[0].as_py()
 
 
 def _exits(table: pa.Table) -> pa.Table:
@@ -177,10 +175,13 @@ def _reached(table: pa.Table) -> pa.Table:
     return table.select(["file", "offset"]).filter(pa.array(reached))
 
 
-def reachable(found: DataFrame) -> DataFrame:
+def reachable(found: DataFrame, zone_bytes: int = ZONE_BYTES) -> DataFrame:
     """``(file, offset)`` of the candidates on the chains from the files' starts."""
+    zone = F.floor(F.col("offset") / zone_bytes).cast("long")
     ship(found.sparkSession)
-    links = found.filter("next is not null").select("file", "zone", "offset", "next")
+    links = found.filter("next is not null").select("file", zone.alias("zone"), "offset", "next").withColumn(
+        "end", (F.col("zone") + 1) * zone_bytes
+    )
     exits = written(
         links.groupBy("file", "zone").applyInArrow(_exits, "file string, offset bigint, exit bigint").filter("exit >= 0 or offset = 0"),
         "zone-exits",
@@ -200,14 +201,14 @@ def reachable(found: DataFrame) -> DataFrame:
         jumps = jumps.join(
             jumps.select("file", F.col("offset").alias("exit"), F.col("exit").alias("_exit")), ["file", "exit"]
         ).select("file", "offset", F.col("_exit").alias("exit"))
-    first = entries.select("file", F.col("offset").alias("entry"), F.floor(F.col("offset") / ZONE_BYTES).cast("long").alias("zone"))
+    first = entries.select("file", F.col("offset").alias("entry"), zone.alias("zone"))
     return links.join(first, ["file", "zone"]).groupBy("file", "zone").applyInArrow(_reached, "file string, offset bigint")
 
 
-def read_archive(spark: SparkSession, folder: str) -> DataFrame:
+def read_archive(spark: SparkSession, folder: str, zone_bytes: int = ZONE_BYTES) -> DataFrame:
     """Header fields, payload length and payload digest of every verified record."""
     found = written(candidates(spark, folder), "archive-candidates")
-    good = written(reachable(found), "archive-records").withColumn("good", F.lit(True))
+    good = written(reachable(found, zone_bytes), "archive-records").withColumn("good", F.lit(True))
     placed = found.join(good, ["file", "offset"], "left")
     whole = placed.filter("good and whole")
     # A payload with version lines in it came in several pieces; they belong to the last
