@@ -109,11 +109,29 @@ def review_words(text: Column, faithful: bool = False) -> Column:
 def strip_stop_words(text: Column, stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> Column:
     """Delete stop words as whole words, case-sensitively, in list order.
 
-    One alternation instead of one replacement per word: deleting a whole word never
-    creates or destroys another one, so the text is the same and the plan stays small.
+    One alternation does the work of many replacements, unless an earlier entry stands
+    inside a later one, which it would have cut in two: such a later entry starts a new pass.
     """
-    words = "|".join(re.escape(w) for w in stop_words)
-    return F.regexp_replace(text, f"(?<!{_WORD})(?:{words})(?!{_WORD})", "")
+    for words in stop_word_passes(stop_words):
+        listed = "|".join(re.escape(w) for w in words)
+        text = F.regexp_replace(text, f"(?<!{_WORD})(?:{listed})(?!{_WORD})", "")
+    return text
+
+
+def stop_word_passes(stop_words: Sequence[str]) -> list[list[str]]:
+    """The list cut where one alternation would differ from deletion word by word."""
+    passes: list[list[str]] = [[]]
+    for word in stop_words:
+        inside = [
+            m.start()
+            for w in passes[-1]
+            for m in re.finditer(rf"(?<!\w){re.escape(w)}(?!\w)", word)
+        ]
+        # An earlier entry at its very beginning wins in either form.
+        if inside and 0 not in inside:
+            passes.append([])
+        passes[-1].append(word)
+    return passes
 
 
 def squeeze_lower(text: Column) -> Column:

@@ -13,7 +13,8 @@ def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """``(actual, predicted, n)`` for every pair of classes, absent pairs with 0.
 
     Rows are reduced to one count per seen pair; the full grid unfolds from the class
-    list, so nothing is joined.
+    list, so nothing is joined. A missing label or prediction is a class of its own, NULL.
+    Labels must be few: all classes meet in one row, all pairs in the result.
     """
     seen = df.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(
         F.count("*").alias("n")
@@ -21,15 +22,20 @@ def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     # From here on there are at most classes x classes entries.
     grid = seen.agg(
         F.array_sort(
-            F.array_distinct(F.concat(F.collect_set("actual"), F.collect_set("predicted")))
+            F.array_distinct(
+                F.concat(
+                    F.collect_set(F.struct(F.col("actual").alias("v"))),
+                    F.collect_set(F.struct(F.col("predicted").alias("v"))),
+                )
+            )
         ).alias("_classes"),
         F.map_from_entries(
             F.collect_list(F.struct(F.struct("actual", "predicted"), "n"))
         ).alias("_n"),
     )
-    cells = grid.select("_n", "_classes", F.explode("_classes").alias("actual")).select(
-        "_n", "actual", F.explode("_classes").alias("predicted")
-    )
+    cells = grid.select("_n", "_classes", F.explode("_classes").alias("_a")).select(
+        "_n", "_a", F.explode("_classes").alias("_p")
+    ).select("_n", F.col("_a.v").alias("actual"), F.col("_p.v").alias("predicted"))
     return cells.select(
         "actual", "predicted",
         F.coalesce(F.try_element_at("_n", F.struct("actual", "predicted")), F.lit(0)).alias("n"),

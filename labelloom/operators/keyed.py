@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from labelloom.storage import written
+
 # Buckets of the hash order: 16**4 counts are small for one task, and a bucket of 10**11
 # rows still holds only 1.5 million.
 BUCKET_DIGITS = 4
@@ -69,7 +71,8 @@ def hash_rank(
     no group goes through one task: rows are ranked inside (group, hash-prefix) buckets
     and shifted by the sizes of the earlier buckets. ``key`` must be unique.
     """
-    rows = df.withColumn("_h", hash_key(key, seed)).withColumn(
+    # Rows without a key come first instead of falling out.
+    rows = df.withColumn("_h", F.coalesce(hash_key(key, seed), F.lit("0" * 32))).withColumn(
         "_b", F.substring("_h", 1, digits)
     )
     placed = _with_offsets(rows, within, "_b", F.lit(1))
@@ -79,6 +82,28 @@ def hash_rank(
     ).drop("_h", "_b", "_before", "_total")
 
 
+def order_rank(df: DataFrame, order: str, name: str = "rank") -> DataFrame:
+    """Rank rows 1, 2, ... by a column of any type that can be sorted, structs too.
+
+    Rows are laid out in ranges of the column and written, ranked inside their range and
+    shifted by the sizes of the earlier ones.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(
+        df.repartitionByRange(ranges, order).withColumn("_b", F.spark_partition_id()), "ranges"
+    )
+    sizes = placed.groupBy("_b").agg(F.count("*").alias("_n"))
+    # One row per range.
+    earlier = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.select("_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = W.partitionBy("_b").orderBy(order)
+    return (
+        placed.withColumn("_r", F.row_number().over(inside)).join(F.broadcast(before), "_b")
+        .withColumn(name, (F.col("_r") + F.col("_before")).cast("long"))
+        .drop("_b", "_r", "_before")
+    )
+
+
 def value_buckets(df: DataFrame, column: str, buckets: int = RANGE_BUCKETS) -> DataFrame:
     """Add ``_b``: the range of ``column`` a row falls into, with about equal counts.
 

@@ -4,31 +4,22 @@ from __future__ import annotations
 
 from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelloom.functions.arrays import one_hot
-from labelloom.operators.keyed import key_rank
+from labelloom.operators.keyed import order_rank
 from labelloom.operators.lookup import lookup
-from labelloom.storage import written
-
-
-# A label table of at most this many rows is numbered in one task.
-SMALL_TABLE = 100_000
 
 
 def first_seen_ids(df: DataFrame, label: str, key: str) -> DataFrame:
-    """``(label, label_id, rows)``: ids 0, 1, ... in order of first appearance by key."""
-    first = written(
-        df.filter(F.col(label).isNotNull()).groupBy(label).agg(
-            F.min(key).alias("_first"), F.count("*").alias("rows")
-        ),
-        "labels",
+    """``(label, label_id, rows)``: ids 0, 1, ... in order of first appearance by key.
+
+    The key may be a struct of several columns.
+    """
+    first = df.filter(F.col(label).isNotNull()).groupBy(label).agg(
+        F.min(key).alias("_first"), F.count("*").alias("rows")
     )
-    if first.limit(SMALL_TABLE + 1).count() <= SMALL_TABLE:
-        ranked = first.withColumn("_r", F.row_number().over(W.orderBy("_first")))
-    else:
-        ranked = key_rank(first, "_first", name="_r")
+    ranked = order_rank(first, "_first", "_r")
     return ranked.select(label, (F.col("_r") - 1).cast("int").alias("label_id"), "rows")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
@@ -35,9 +34,6 @@ CV_FOLDS = 5
 FOREST_SPARK = {"numTrees": 100, "maxDepth": 4, "maxBins": 32}
 FOREST_WIDE = {"numTrees": 200, "maxDepth": 3}
 
-# An iteration's task should have at least about this many rows.
-ROWS_PER_TASK = 5_000
-
 
 def _tokens(text: str, as_gaps: bool) -> list:
     if as_gaps:
@@ -115,28 +111,28 @@ def linear_svc(parallelism: int = 4, **params) -> OneVsRest:
 def perceptron(inputs: int, hidden: int, classes: int, **params):
     """Neural classifier over pooled word vectors."""
     return MultilayerPerceptronClassifier(
-        **({"layers": [inputs, hidden, classes], "seed": 0, "maxIter": 50} | params)
+        **({"layers": [inputs, hidden, classes], "seed": 0} | params)
     )
 
 
 @contextmanager
-def kept(df: DataFrame) -> Iterator[DataFrame]:
+def kept(df: DataFrame, partitions: int | None = None) -> Iterator[DataFrame]:
     """Keep rows across the passes of iterative fits; spills to disk, recomputed if lost.
 
-    Few rows are gathered into few partitions, since every iteration starts a task for each
-    of them; with more rows the partitions stay as they are.
+    Every iteration starts a task per partition; a caller who knows that the rows are few
+    may ask for few ``partitions``.
     """
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = df if partitions is None else df.coalesce(partitions)
+    cached = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        wanted = math.ceil(cached.count() / ROWS_PER_TASK)
-        yield cached.coalesce(max(1, wanted))
+        yield cached
     finally:
         cached.unpersist()
 
 
-def fit_kept(estimator: Estimator, rows: DataFrame) -> Model:
+def fit_kept(estimator: Estimator, rows: DataFrame, partitions: int | None = None) -> Model:
     """Fit on rows that stay cached for the duration of the fit only."""
-    with kept(rows) as cached:
+    with kept(rows, partitions) as cached:
         return estimator.fit(cached)
 
 

@@ -99,7 +99,7 @@ _ROLE_IDS = (
 def join_label_names(spark, sf):
     """Counts by label id, with the name put back for the report."""
     rows = t.table(spark, sf, "conversations").select(
-        "role", (F.col("conv_id") * 100000 + F.col("turn")).alias("key")
+        "role", F.struct("conv_id", "turn").alias("key")
     )
     ids = labels.first_seen_ids(rows, "role", "key")
     coded = labels.with_label_id(rows, ids, "role", "key")

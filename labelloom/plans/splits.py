@@ -126,16 +126,19 @@ def shard_repartition(spark, sf):
     )
 
 
+# Fixed value: epochs of the review model.
+EPOCHS = 100
+
 _BATCHES = (
     "SELECT id, CAST(epoch AS INTEGER) AS epoch, CAST(floor((row_number() OVER (PARTITION BY epoch "
     "ORDER BY md5(concat('0:', epoch, ':', id)), id) - 1) / 64) AS BIGINT) AS batch "
-    f"FROM ({_ORDERS}), range(3) e(epoch)"
+    f"FROM ({_ORDERS}), range({EPOCHS}) e(epoch)"
 )
 
 
 @query("batch_assign_all", _BATCHES)
 def batch_assign_all(spark, sf):
-    return splits.batch_assign_all(_orders(spark, sf).select("id"), "id", 64, 3)
+    return splits.batch_assign_all(_orders(spark, sf).select("id"), "id", 64, EPOCHS)
 
 
 @query(
@@ -143,4 +146,4 @@ def batch_assign_all(spark, sf):
     f"SELECT * FROM ({_BATCHES}) WHERE batch < (SELECT count(*) // 64 FROM orders)",
 )
 def batch_assign_full(spark, sf):
-    return splits.batch_assign_full(_orders(spark, sf).select("id"), "id", 64, 3)
+    return splits.batch_assign_full(_orders(spark, sf).select("id"), "id", 64, EPOCHS)

@@ -16,7 +16,7 @@ from labelloom.storage import new_path
 def src_csv_headered(spark, sf):
     path = new_path(spark, "tweets-csv")
     writers.write_csv(t.tweets(spark, sf), path)
-    return readers.read_labelled_csv(spark, path)
+    return readers.read_labelled_csv(spark, path, multi_line=True)
 
 
 _SOME_NULL = (
@@ -35,7 +35,7 @@ def _some_null(spark, sf):
 def src_csv_notnull(spark, sf):
     path = new_path(spark, "tweets-csv")
     writers.write_csv(_some_null(spark, sf), path)
-    return readers.read_labelled_csv_not_null(spark, path)
+    return readers.read_labelled_csv_not_null(spark, path, multi_line=True)
 
 
 @query("flt_not_null", f"SELECT * FROM ({_SOME_NULL}) WHERE content IS NOT NULL")

@@ -22,21 +22,24 @@ TWEET_SCHEMA = T.StructType(
 
 
 def read_labelled_csv(
-    spark: SparkSession, path: str, schema: T.StructType = TWEET_SCHEMA
+    spark: SparkSession, path: str, schema: T.StructType = TWEET_SCHEMA,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Headered CSV, columns found by name and cast to ``schema``; no inference pass.
 
-    Quotes are escaped by doubling, and quoted fields may span lines.
+    Quotes are escaped by doubling. With ``multi_line`` quoted fields may span lines; a
+    file is then one task, however large.
     """
-    raw = spark.read.options(header=True, quote='"', escape='"', multiLine=True).csv(path)
+    raw = spark.read.options(header=True, quote='"', escape='"', multiLine=multi_line).csv(path)
     return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
 def read_labelled_csv_not_null(
-    spark: SparkSession, path: str, text: str = "content", schema: T.StructType = TWEET_SCHEMA
+    spark: SparkSession, path: str, text: str = "content", schema: T.StructType = TWEET_SCHEMA,
+    multi_line: bool = False,
 ) -> DataFrame:
     """The same, without rows whose text is missing or empty."""
-    df = read_labelled_csv(spark, path, schema)
+    df = read_labelled_csv(spark, path, schema, multi_line)
     return df.filter(F.col(text).isNotNull() & (F.col(text) != ""))
 
 

@@ -11,10 +11,13 @@ CHECKPOINT_EVERY = 100
 NUM_CHECKPOINTS = 5
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """Headered CSV that ``read_labelled_csv`` restores unchanged."""
+def write_csv(df: DataFrame, path: str, rows_per_file: int = 100_000) -> None:
+    """Headered CSV that ``read_labelled_csv`` restores unchanged.
+
+    Files are bounded, since one with line breaks in fields is read by a single task.
+    """
     df.write.options(
-        header=True, quote='"', escape='"', quoteAll=True,
+        header=True, quote='"', escape='"', quoteAll=True, maxRecordsPerFile=rows_per_file,
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     ).csv(path)
 

@@ -46,10 +46,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores for expensive row work on a small scan.
+    """Place rows by ``key`` in as many partitions as the session asks for.
 
-    A small file arrives in fewer splits than there are cores; its rows are then placed by
-    ``key``, which must be nearly unique. A scan with enough splits is left as it is.
+    A file of one row group arrives in one task. A session on such small files may set
+    ``labelloom.scan.partitions``; without it the scan stays as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    wanted = df.sparkSession.conf.get("labelloom.scan.partitions", None)
+    return df.repartition(int(wanted), key) if wanted else df

@@ -15,16 +15,16 @@ def test_quoted_csv_and_empty_text(spark, tmp_path):
         "2,sad,b,\n"
         '3,joy,c,"two\nlines"\n'
     )
-    rows = {r["tweet_id"]: r["content"] for r in readers.read_labelled_csv(spark, str(path)).collect()}
+    rows = {r["tweet_id"]: r["content"] for r in readers.read_labelled_csv(spark, str(path), multi_line=True).collect()}
     assert rows == {1: 'he said "hi", ok', 2: None, 3: "two\nlines"}
-    kept = readers.read_labelled_csv_not_null(spark, str(path))
+    kept = readers.read_labelled_csv_not_null(spark, str(path), multi_line=True)
     assert sorted(r["tweet_id"] for r in kept.collect()) == [1, 3]
 
 
 def test_csv_columns_are_found_by_name(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text("content,author,tweet_id,sentiment\nhello,a,7,joy\n")
-    row = readers.read_labelled_csv(spark, str(path)).first()
+    row = readers.read_labelled_csv(spark, str(path), multi_line=True).first()
     assert row.asDict() == {"tweet_id": 7, "sentiment": "joy", "author": "a", "content": "hello"}
 
 
@@ -34,7 +34,7 @@ def test_csv_round_trip_keeps_awkward_text(spark, tmp_path):
         [(i, "s", "a", x) for i, x in enumerate(texts)], readers.TWEET_SCHEMA
     )
     writers.write_csv(df, str(tmp_path / "out"))
-    back = readers.read_labelled_csv(spark, str(tmp_path / "out")).orderBy("tweet_id")
+    back = readers.read_labelled_csv(spark, str(tmp_path / "out"), multi_line=True).orderBy("tweet_id")
     assert [r["content"] for r in back.collect()] == texts
 
 
