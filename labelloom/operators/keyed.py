@@ -98,9 +98,9 @@ def order_rank(df: DataFrame, order: str, name: str = "rank") -> DataFrame:
     before = sizes.select("_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     inside = W.partitionBy("_b").orderBy(order)
     return (
-        placed.withColumn("_r", F.row_number().over(inside)).join(F.broadcast(before), "_b")
-        .withColumn(name, (F.col("_r") + F.col("_before")).cast("long"))
-        .drop("_b", "_r", "_before")
+        placed.withColumn("_place", F.row_number().over(inside)).join(F.broadcast(before), "_b")
+        .withColumn(name, (F.col("_place") + F.col("_before")).cast("long"))
+        .drop("_b", "_place", "_before")
     )
 
 

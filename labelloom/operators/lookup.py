@@ -49,14 +49,18 @@ def lookup(
             on, entry.alias("_hot")
         )
 
-    def bucket(name: str):
-        return F.pmod(F.xxhash64(name), F.lit(4096))
+    kind = table.schema[on].dataType
+
+    def bucket(name: str, same: bool = True):
+        # Both sides hash the key as one type: an int and an equal long hash differently.
+        column = F.col(name).cast(kind) if same else F.col(name)
+        return F.pmod(F.xxhash64(column), F.lit(4096))
 
     # Settled rows get a bucket beyond those of the table, taken from ``spread``: they match
     # nothing and go to all tasks. (A constant salt would be folded away by the optimizer.)
     settled = F.col("_hot").isNotNull() | F.col(on).isNull()
     answered = facts.join(F.broadcast(hot), on, "left").withColumn(
-        "_bucket", F.when(settled, bucket(spread) + 4096).otherwise(bucket(on))
+        "_bucket", F.when(settled, bucket(spread, False) + 4096).otherwise(bucket(on))
     )
     cold = table.select(F.col(on).alias("_on"), bucket(on).alias("_b"), entry.alias("_cold"))
     joined = answered.join(

@@ -1,101 +1,63 @@
 """Training per shard and averaging the parameters.
 
-Every shard trains its own softmax regression by mini-batch gradient steps over its rows in
-a fixed order. A task streams through its rows batch by batch, so a shard never has to fit
-in memory, and a retried task repeats exactly the same steps.
+Every shard is a folder of rows on which one Spark ML model is fitted; a few fits run at a
+time, each of them distributed. The number of shards is the caller's.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from multiprocessing.pool import ThreadPool
 
-import numpy as np
-import pandas as pd
+from pyspark import inheritable_thread_target
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.operators.keyed import hash_key
 from labelloom.operators.splits import shard_equal
+from labelloom.storage import new_path
 
-# More rows than this per shard and the number of shards grows instead.
-ROWS_PER_SHARD = 1_000_000
 WEIGHTS = "shard int, rows long, param string, idx int, value double"
 
 
-def shard_count(df: DataFrame, at_least: int = 4, rows_per_shard: int = ROWS_PER_SHARD) -> int:
-    """Number of shards: the wanted number, or more when shards would get too long."""
-    return max(at_least, math.ceil(df.count() / rows_per_shard))
-
-
-def _steps(x: np.ndarray, y: np.ndarray, w: np.ndarray, rate: float, batch: int) -> np.ndarray:
-    for start in range(0, len(x), batch):
-        xb, yb = x[start:start + batch], y[start:start + batch]
-        scores = xb @ w
-        scores -= scores.max(axis=1, keepdims=True)
-        p = np.exp(scores)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(yb)), yb] -= 1.0
-        w = w - rate * (xb.T @ p) / len(yb)
-    return w
-
-
 def train_shards(
     df: DataFrame, key: str, features: str, label: str, dims: int, classes: int,
-    shards: int, epochs: int = 1, batch_size: int = 10, rate: float = 0.1, seed: object = 0,
+    shards: int, seed: object = 0, parallelism: int = 4, **params,
 ) -> DataFrame:
-    """``(shard, rows, param, idx, value)``: the weights each shard arrives at.
+    """``(shard, rows, param, idx, value)``: the softmax weights each shard arrives at.
 
     ``features`` is an array of ``dims`` numbers, ``label`` an integer below ``classes``.
-    ``param`` is ``weight`` or ``bias``, ``idx`` the position in row-major order.
+    ``param`` is ``weight`` or ``bias``, ``idx`` the position in row-major order. The
+    driver holds ``shards x (dims + 1) x classes`` numbers.
     """
+    spark = df.sparkSession
     rows = shard_equal(
-        df.select(key, F.col(features).alias("x"), F.col(label).cast("int").alias("y")),
+        df.select(key, array_to_vector(F.col(features)).alias("x"), F.col(label).cast("double").alias("y")),
         key, shards, seed,
     )
-    ordered = rows.withColumn("_o", hash_key(key, seed))
-    if epochs > 1:
-        ordered = ordered.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
-    else:
-        ordered = ordered.withColumn("epoch", F.lit(1))
-    # Shards are told apart inside a task, so two of them may share one.
-    streams = ordered.repartition(shards, "shard").sortWithinPartitions("shard", "epoch", "_o")
-    step_rows = batch_size
-
-    def train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, count, w = None, 0, None
-        left_x, left_y = None, None
-
-        def result() -> pd.DataFrame:
-            flat = np.concatenate([w[:dims].ravel(), w[dims]])
-            params = ["weight"] * (dims * classes) + ["bias"] * classes
-            idx = [*range(dims * classes), *range(classes)]
-            return pd.DataFrame(
-                {"shard": shard, "rows": count // epochs, "param": params, "idx": idx,
-                 "value": flat}
-            )
-
-        for frame in frames:
-            for s, part in frame.groupby("shard", sort=False):
-                if s != shard:
-                    if shard is not None:
-                        w = _steps(left_x, left_y, w, rate, step_rows)
-                        yield result()
-                    shard, count = int(s), 0
-                    w = np.zeros((dims + 1, classes))
-                    left_x, left_y = np.empty((0, dims + 1)), np.empty(0, dtype=int)
-                x = np.column_stack([np.vstack(part["x"].to_numpy()), np.ones(len(part))])
-                x = np.concatenate([left_x, x])
-                y = np.concatenate([left_y, part["y"].to_numpy()])
-                full = len(x) // step_rows * step_rows
-                w = _steps(x[:full], y[:full], w, rate, step_rows)
-                left_x, left_y = x[full:], y[full:]
-                count += len(part)
-        if shard is not None:
-            w = _steps(left_x, left_y, w, rate, step_rows)
-            yield result()
-
-    return streams.select("shard", "x", "y").mapInPandas(train, WEIGHTS)
+    path = new_path(spark, "shards")
+    rows.write.partitionBy("shard").parquet(path)
+    # All shards know all classes, also those that a shard has no row of.
+    names = {"ml_attr": {"type": "nominal", "vals": [str(c) for c in range(classes)]}}
+    placed = spark.read.parquet(path).withColumn("y", F.col("y").alias("y", metadata=names))
+    sizes = [(r["shard"], r["n"]) for r in placed.groupBy("shard").agg(F.count("*").alias("n")).collect()]
+    settings = {"family": "multinomial", "regParam": 0.01} | params
+
+    def fit(shard: tuple[int, int]) -> list[tuple]:
+        number, size = shard
+        model = LogisticRegression(featuresCol="x", labelCol="y", **settings).fit(
+            placed.filter(F.col("shard") == number)
+        )
+        weight, bias = model.coefficientMatrix.toArray().T.ravel(), model.interceptVector.toArray()
+        return [
+            (int(number), int(size), param, i, float(v))
+            for param, values in (("weight", weight), ("bias", bias))
+            for i, v in enumerate(values)
+        ]
+
+    with ThreadPool(parallelism) as pool:
+        fitted = pool.map(inheritable_thread_target(spark)(fit), sizes)
+    return spark.createDataFrame([w for weights in fitted for w in weights], WEIGHTS)
 
 
 def mean_weights(weights: DataFrame) -> DataFrame:

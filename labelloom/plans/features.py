@@ -10,8 +10,8 @@ from labelloom.functions import arrays as A
 from labelloom.operators import splits, statistics, vectors, vocabulary, weights
 from labelloom.plans import tables as t
 from labelloom.plans.registry import query
-from labelloom.plans.tables_io import word_vectors
 from labelloom.storage import written
+from labelloom.plans.tables_io import word_vectors
 
 # Shape of an encoded review.
 SENTENCES, WORDS_PER_SENTENCE = 16, 10
@@ -88,11 +88,11 @@ def vec_count_all(spark, sf):
 def vec_hashing_tf(spark, sf):
     """Hashed counts: whatever the buckets, their total is the number of tokens."""
     hashed = HashingTF(inputCol="tokens", outputCol="v", numFeatures=10_000)
-    values = vector_to_array("v")
+    vector = F.unwrap_udt("v")
     return hashed.transform(t.words(spark, sf)).select(
         "doc_id",
-        F.aggregate(values, F.lit(0.0), lambda a, x: a + x).alias("mass"),
-        F.size(values).alias("buckets"),
+        F.aggregate(vector["values"], F.lit(0.0), lambda a, x: a + x).alias("mass"),
+        vector["size"].alias("buckets"),
     )
 
 
@@ -287,6 +287,13 @@ def _id_vectors(spark, sf):
     )
 
 
+def all_vectors(spark, sf, docs):
+    """``(word_id, uses, vector, known)`` of every word, written."""
+    words = vocabulary.distinct_words(docs, "tokens")
+    full = vectors.vocabulary_vectors(words, word_vectors(spark, sf, words), 64)
+    return words, written(full.select("word_id", "uses", "vector", "known"), "word-vectors")
+
+
 _CHUNKS = (
     "SELECT doc_id, unnest(ids) AS word_id, generate_subscripts(ids, 1) - 1 AS pos "
     f"FROM ({_ENCODED})"
@@ -295,44 +302,71 @@ _CHUNKS = (
 
 @query(
     "emb_lookup",
-    "SELECT doc_id, CAST(pos // 10 AS INTEGER) AS chunk, count(*) AS n, "
+    "SELECT doc_id, CAST(pos // 10 AS INTEGER) AS chunk, "
+    "count(CASE WHEN word_id > 0 THEN 1 END) AS n, count(vec_id) AS n_known, "
     "round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS mean_first, "
-    "round(avg(CAST(embedding[64] AS DOUBLE)), 6) AS mean_last "
-    f"FROM ({_CHUNKS}) JOIN embeddings ON vec_id = word_id GROUP BY 1, 2",
+    "round(avg(CAST(embedding[64] AS DOUBLE)), 6) AS mean_last, TRUE AS bounded "
+    f"FROM ({_CHUNKS}) LEFT JOIN embeddings ON vec_id = word_id AND word_id > 0 GROUP BY 1, 2",
 )
 def emb_lookup(spark, sf):
-    """Vectors of all encoded words, summarised per chunk."""
-    looked = vectors.token_vectors(encoded(spark, sf), "doc_id", _id_vectors(spark, sf))
+    """Vectors of all encoded words, summarised per chunk; padding has none.
+
+    Words without a given vector have one within the bound; the means are over given ones.
+    """
+    words, full = all_vectors(spark, sf, t.review_tokens(spark, sf))
+    looked = vectors.token_vectors(encoded(spark, sf, words), "doc_id", full, "uses")
+    given = lambda i: F.when(F.col("known"), F.element_at("vector", i).cast("double"))
+    inside = F.forall("vector", lambda x: F.abs(x) <= vectors.UNKNOWN_BOUND)
     return looked.groupBy("doc_id", F.floor(F.col("pos") / WORDS_PER_SENTENCE).cast("int").alias("chunk")).agg(
-        F.count("*").alias("n"),
-        t.rounded(F.avg(F.element_at("vector", 1).cast("double"))).alias("mean_first"),
-        t.rounded(F.avg(F.element_at("vector", 64).cast("double"))).alias("mean_last"),
+        F.count("vector").alias("n"),
+        F.count_if("known").alias("n_known"),
+        t.rounded(F.avg(given(1))).alias("mean_first"),
+        t.rounded(F.avg(given(64))).alias("mean_last"),
+        F.coalesce(F.every(F.when(~F.col("known"), inside)), F.lit(True)).alias("bounded"),
     )
 
 
 def pooled_documents(spark, sf):
-    """``(doc_id, vector)``: mean vector of each document's words that have one."""
+    """``(doc_id, n, n_known, sums)``: per dimension the sum over all words, then over known ones."""
     docs = t.review_tokens(spark, sf)
-    words = vocabulary.distinct_words(docs, "tokens")
-    ids = vocabulary.kept_sequences(
-        vocabulary.encode_known(docs, "doc_id", "tokens", words)
+    words, full = all_vectors(spark, sf, docs)
+    ids = vocabulary.kept_sequences(vocabulary.encode_known(docs, "doc_id", "tokens", words))
+    both = full.select(
+        "word_id", "uses", "known",
+        F.concat("vector", F.transform("vector", lambda x: F.when(F.col("known"), x).otherwise(0))).alias("vector"),
     )
-    return vectors.pooled(ids, "doc_id", _id_vectors(spark, sf))
+    return vectors.pooled_sums(ids, "doc_id", both, "uses")
 
 
 @query(
     "emb_doc_mean",
-    "SELECT doc_id, dim, value FROM documents LEFT JOIN "
-    "(SELECT doc_id, CAST(d - 1 AS INTEGER) AS dim, round(avg(value), 6) AS value FROM "
-    f"(SELECT doc_id, unnest(tokens) AS word FROM ({t.SQL_REVIEW})) "
-    f"JOIN ({_VOCABULARY}) USING (word) JOIN (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) "
-    "AS value, generate_subscripts(embedding, 1) AS d FROM embeddings) ON vec_id = word_id "
-    "GROUP BY doc_id, d) USING (doc_id)",
+    f"WITH w AS (SELECT doc_id, unnest(tokens) AS word FROM ({t.SQL_REVIEW})), "
+    f"k AS (SELECT doc_id, vec_id, embedding FROM w JOIN ({_VOCABULARY}) USING (word) "
+    "LEFT JOIN embeddings ON vec_id = word_id), "
+    "n AS (SELECT doc_id, count(*) AS n, count(vec_id) AS n_known FROM k GROUP BY doc_id), "
+    "m AS (SELECT doc_id, CAST(d - 1 AS INTEGER) AS dim, round(avg(value), 6) AS value FROM "
+    "(SELECT doc_id, CAST(unnest(embedding) AS DOUBLE) AS value, generate_subscripts(embedding, 1) "
+    "AS d FROM k WHERE vec_id IS NOT NULL) GROUP BY ALL) "
+    "SELECT doc_id, coalesce(n, 0) AS n, coalesce(n_known, 0) AS n_known, CAST(r.d AS INTEGER) AS dim, "
+    "value, TRUE AS bounded FROM documents CROSS JOIN range(64) r(d) LEFT JOIN n USING (doc_id) "
+    "LEFT JOIN m ON m.doc_id = documents.doc_id AND m.dim = r.d",
 )
 def emb_doc_mean(spark, sf):
-    return pooled_documents(spark, sf).select(
-        "doc_id", F.posexplode_outer("vector").alias("dim", "value")
-    ).withColumn("value", t.rounded("value"))
+    """Mean vector of each document's given words, and the bound of the mean over all words."""
+    n, known = F.col("n"), F.col("n_known")
+    return (
+        pooled_documents(spark, sf)
+        .select("doc_id", n, known, "sums", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("dim"))
+        .select(
+            "doc_id", "n", "n_known", "dim",
+            t.rounded(F.when(known > 0, F.get("sums", F.col("dim") + 64) / known)).alias("value"),
+            F.coalesce(
+                F.abs(F.get("sums", "dim") - F.get("sums", F.col("dim") + 64))
+                <= (n - known) * vectors.UNKNOWN_BOUND + 1e-6,
+                F.lit(True),
+            ).alias("bounded"),
+        )
+    )
 
 
 @query(

@@ -19,6 +19,9 @@ from labelloom.plans.tables_io import SENTENCES, SQL_SENTENCES, word_vectors
 from labelloom.sources import readers, writers
 from labelloom.storage import new_path, written
 
+# Fixed value: shards of the sharded training.
+SHARDS = 4
+
 
 def split_tweets(spark, sf):
     """Tweets with text, 70 % of them for training."""
@@ -78,7 +81,7 @@ _ML = (
 def ml_features_count(spark, sf):
     """Tokenise, drop stop words, count terms, index the label."""
     _, rows = count_features(spark, sf)
-    values = vector_to_array("features")
+    values = F.unwrap_udt("features")["values"]
     return rows.select(
         "tweet_id", "split", "sentiment", "label", F.size("filtered").alias("tokens"),
         F.aggregate(values, F.lit(0.0), lambda a, x: a + x).alias("counted"),
@@ -91,7 +94,7 @@ def ml_features_hash_idf(spark, sf):
     rows = split_tweets(spark, sf)
     out = training.fit_features(training.hash_idf_stages(), rows).transform(rows)
     norm = F.sqrt(
-        F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x * x)
+        F.aggregate(F.unwrap_udt("features")["values"], F.lit(0.0), lambda a, x: a + x * x)
     )
     return out.select("tweet_id", "split", "sentiment", "label", t.rounded(norm).alias("norm"))
 
@@ -328,9 +331,8 @@ def ml_shard_average(spark, sf):
     ordered = t.table(spark, sf, "embeddings").select(
         "vec_id", F.col("embedding").cast("array<double>").alias("x"), "label"
     )
-    count = shards.shard_count(ordered)
     trained = shards.train_shards(
-        ordered, "vec_id", "x", "label", dims=64, classes=10, shards=count
+        ordered, "vec_id", "x", "label", dims=64, classes=10, shards=SHARDS
     )
     averaged = written(shards.mean_weights(trained), "mean-weights")
     scored = shards.score_linear(ordered, "x", averaged, 64, 10)

@@ -195,14 +195,13 @@ def test_naive_bayes_hand_computed_and_like_ml(spark):
     assert got[9] == ("p", pytest.approx(math.log(3 / 5) + 2 * math.log(2 / 7)))
 
 
-def test_label_ids(spark, monkeypatch):
+def test_label_ids(spark):
     rows = spark.createDataFrame([(5, "b"), (1, "c"), (3, "a"), (9, "c")], "k long, l string")
     want = {"c": 0, "a": 1, "b": 2}
     ids = labels.first_seen_ids(rows, "l", "k")
     assert {r["l"]: r["label_id"] for r in ids.collect()} == want
-    monkeypatch.setattr(labels, "SMALL_TABLE", 1)
-    large = labels.first_seen_ids(rows, "l", "k")
-    assert {r["l"]: r["label_id"] for r in large.collect()} == want
+    keyed = rows.withColumn("s", F.struct(F.col("k").cast("string").alias("a"), "l"))
+    assert {r["l"]: r["label_id"] for r in labels.first_seen_ids(keyed, "l", "s").collect()} == want
     coded = labels.with_label_id(rows, ids, "l", "k")
     back = labels.with_label_name(coded.drop("l"), ids, "label_id", "k")
     assert {(r["k"], r["l"]) for r in back.collect()} == {(5, "b"), (1, "c"), (3, "a"), (9, "c")}
