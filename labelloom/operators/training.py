@@ -227,6 +227,17 @@ def training_history(model, series: str = "train") -> list[tuple[int, str, float
     ]
 
 
+def step_metrics(model, rows: DataFrame, step: int, split: str = "split") -> DataFrame:
+    """``(step, series, loss, accuracy)`` of the parts ``train`` and, for the rest, ``dev``."""
+    scored = probabilities(model.transform(rows))
+    own = F.element_at("probability", F.col("label").cast("int") + 1)
+    series = F.when(F.col(split) == "train", "train").otherwise("dev")
+    return scored.groupBy(series.alias("series")).agg(
+        F.avg(-F.log(F.greatest(own, F.lit(1e-15)))).alias("loss"),
+        F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"),
+    ).select(F.lit(step).cast("long").alias("step"), "series", "loss", "accuracy")
+
+
 def coefficients(model, terms: DataFrame, labels: Sequence[str]) -> DataFrame:
     """``(label, term, weight)`` of a linear model over ``(term, term_id)``.
 

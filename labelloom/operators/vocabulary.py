@@ -108,6 +108,12 @@ def frequent_terms(counts: DataFrame, size: int = 10_000, min_df: int = 5) -> Da
     return written(top.withColumn("term_id", F.row_number().over(order) - 1), "terms")
 
 
+def numbered_terms(table: DataFrame) -> DataFrame:
+    """Written ``(*table, term_id)``: all terms of a fitted table, ids from 0 in hash order."""
+    ranked = hash_rank(table, "term", "term", name="term_id")
+    return written(ranked.withColumn("term_id", F.col("term_id") - 1), "term-ids")
+
+
 def fit_terms(counts: DataFrame) -> DataFrame:
     """Written ``(term, df, uses)`` of all terms, without limits."""
     return written(document_frequency(counts), "terms")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer, StringIndexer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import StringIndexer
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelloom.operators import (
-    bayes, evaluation, shards, splits, training, vectors, vocabulary, weights,
+    bayes, evaluation, shards, splits, statistics, training, vectors, vocabulary, weights,
 )
 from labelloom.operators.keyed import hash_threshold
 from labelloom.functions.arrays import argmax
@@ -21,6 +23,8 @@ from labelloom.storage import new_path, written
 
 # Fixed value: shards of the sharded training.
 SHARDS = 4
+# Steps that monitoring scores.
+MONITORED = 5
 
 
 def split_tweets(spark, sf):
@@ -39,8 +43,8 @@ def _parts(rows):
     return rows.filter("split = 'train'"), rows.filter("split = 'test'")
 
 
-def _fit_and_score(spark, sf, estimator):
-    fitted, rows = count_features(spark, sf)
+def _fit_and_score(spark, sf, estimator, features=count_features):
+    fitted, rows = features(spark, sf)
     train, test = _parts(rows)
     model = training.fit_kept(estimator, train.select("features", "label"))
     return training.label_names(model.transform(test), training.label_order(fitted))
@@ -99,9 +103,51 @@ def ml_features_hash_idf(spark, sf):
     return out.select("tweet_id", "split", "sentiment", "label", t.rounded(norm).alias("norm"))
 
 
-@query("ml_logreg")
+def _verdict(scored, actual="sentiment"):
+    """Rows of each class, the share of the largest, and whether the model does better."""
+    counts = scored.groupBy(actual).agg(
+        F.count("*").alias("support"),
+        F.sum((F.col("prediction") == F.col("label")).cast("int")).alias("_hits"),
+    )
+    # One row per class.
+    whole = W.partitionBy(F.lit(1))
+    total, largest = F.sum("support").over(whole), F.max("support").over(whole)
+    return counts.select(
+        actual, "support", t.rounded(largest / total).alias("majority"),
+        (F.sum("_hits").over(whole) > largest).alias("beats_majority"),
+    )
+
+
+def _sql_verdict(test: str) -> str:
+    return (
+        "SELECT sentiment, count(*) AS support, round(max(count(*)) OVER () / "
+        f"CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS majority, TRUE AS beats_majority "
+        f"FROM ({test}) GROUP BY sentiment"
+    )
+
+
+_TEST = f"SELECT lang AS sentiment FROM documents WHERE NOT {_TRAIN}"
+
+
+def hash_idf_features(spark, sf):
+    rows = split_tweets(spark, sf)
+    fitted = training.fit_features(training.hash_idf_stages(), rows)
+    return fitted, fitted.transform(rows)
+
+
+@query(
+    "ml_logreg",
+    f"SELECT f AS features, v.* FROM (VALUES ('count'), ('hash_idf')) k(f), ({_sql_verdict(_TEST)}) v",
+)
 def ml_logreg(spark, sf):
-    return _report(_fit_and_score(spark, sf, training.logistic_regression()))
+    """Logistic regression on counts and on hashed, IDF-weighted counts."""
+    reports = [
+        _verdict(_fit_and_score(spark, sf, training.logistic_regression(), make)).select(
+            F.lit(name).alias("features"), "*"
+        )
+        for name, make in (("count", count_features), ("hash_idf", hash_idf_features))
+    ]
+    return reports[0].union(reports[1])
 
 
 _ML_NB = (
@@ -128,15 +174,60 @@ def ml_naive_bayes(spark, sf):
     return _report(_fit_and_score(spark, sf, training.naive_bayes()))
 
 
-@query("ml_random_forest")
+@query("ml_random_forest", _sql_verdict(_TEST))
 def ml_random_forest(spark, sf):
-    return _report(_fit_and_score(spark, sf, training.random_forest()))
+    return _verdict(_fit_and_score(spark, sf, training.random_forest()))
+
 
+def tfidf_features(spark, sf):
+    """``(terms, rows)``: numbered terms, and documents with unit-length TF-IDF vectors.
 
-@query("ml_linear_svc")
+    Sublinear weights of words and word pairs that stand in five documents or more.
+    """
+    docs = t.grams(spark, sf, "lang")
+    counts = written(vocabulary.term_counts(docs, "tokens", "doc_id"), "gram-counts")
+    total = statistics.scalar_count(t.table(spark, sf, "documents"))
+    terms = vocabulary.numbered_terms(weights.idf_table(counts, total, 5))
+    fitted = terms.drop("term_id")
+    scored = weights.tfidf(counts, "doc_id", total, sublinear=True, fitted=fitted)
+    size = terms.count()
+    placed = vectors.sparse_vectors(scored, terms, "doc_id", size)
+    empty = F.udf(lambda _: Vectors.sparse(size, [], []), VectorUDT())
+    rows = t.table(spark, sf, "documents").select("doc_id", "lang").join(placed, "doc_id", "left")
+    index = StringIndexer(inputCol="lang", outputCol="label").fit(rows)
+    filled = F.coalesce("features", empty("doc_id"))
+    ready = index.transform(rows.withColumn("features", filled)).withColumnRenamed("lang", "sentiment")
+    return list(index.labels), terms, written(ready, "tfidf-vectors")
+
+
+_HOLDOUT = (
+    "SELECT doc_id, lang AS sentiment, row_number() OVER "
+    f"(ORDER BY {t.sql_hash('doc_id', 0)}, doc_id) <= ceil(count(*) OVER () * 0.33::DOUBLE) AS test "
+    "FROM documents"
+)
+
+
+@query(
+    "ml_linear_svc",
+    f"SELECT actual, CAST(sum(n) AS BIGINT) AS n, any_value(majority) AS majority, any_value(beats_majority) AS beats_majority "
+    f"FROM (SELECT sentiment AS actual, support AS n, majority, beats_majority FROM "
+    f"({_sql_verdict(f'SELECT * FROM ({_HOLDOUT}) WHERE test')})) GROUP BY actual",
+)
 def ml_linear_svc(spark, sf):
-    """Fitted on the training part, scored on the rest."""
-    return _report(_fit_and_score(spark, sf, training.linear_svc(maxIter=20)))
+    """A third held out, fitted on the rest, confusion of the predictions by actual class."""
+    labels, _, rows = tfidf_features(spark, sf)
+    parts = splits.split_exact_two(rows, "doc_id", 0.33)
+    train, test = _parts(parts)
+    model = training.fit_kept(training.linear_svc(), train.select("features", "label"))
+    scored = written(
+        training.label_names(model.transform(test), labels)
+        .select("doc_id", "sentiment", "label", "prediction", "predicted"),
+        "svc-predictions",
+    )
+    cells = evaluation.confusion(scored, "sentiment", "predicted")
+    supports = cells.groupBy("actual").agg(F.sum("n").alias("n"))
+    verdict = _verdict(scored).select(F.col("sentiment").alias("actual"), "majority", "beats_majority")
+    return supports.join(verdict, "actual")
 
 
 _NB_COUNTS = t.sql_counts(t.SQL_WORDS, "lang")
@@ -198,23 +289,9 @@ def top_weight_per_class(spark, sf):
 @query("top_coef_per_class")
 def top_coef_per_class(spark, sf):
     """Two words and two word pairs with the highest weight in a linear model per class."""
-    docs = t.grams(spark, sf, "lang")
-    counts = vocabulary.term_counts(docs, "tokens", "doc_id")
-    terms = vocabulary.frequent_terms(counts)
-    names = [r["term"] for r in terms.orderBy("term_id").collect()]  # at most 10,000
-    stages = Pipeline(
-        stages=[
-            CountVectorizerModel.from_vocabulary(names, inputCol="tokens", outputCol="counts"),
-            IDF(inputCol="counts", outputCol="weighted"),
-            Normalizer(inputCol="weighted", outputCol="features"),
-            StringIndexer(inputCol="lang", outputCol="label"),
-        ]
-    )
-    fitted = stages.fit(docs)
-    model = training.fit_kept(
-        training.linear_svc(maxIter=10), fitted.transform(docs).select("features", "label")
-    )
-    table = training.coefficients(model, terms, training.label_order(fitted)).withColumn(
+    labels, terms, rows = tfidf_features(spark, sf)
+    model = training.fit_kept(training.linear_svc(), rows.select("features", "label"))
+    table = training.coefficients(model, terms, labels).withColumn(
         "ngram", F.size(F.split("term", " "))
     )
     return weights.top_per_group(
@@ -232,23 +309,41 @@ def ml_grid_cv(spark, sf):
     return training.grid_results(model, spark).withColumn("test_f1", F.lit(float(held_out)))
 
 
-@query("ml_compare_models")
+_FOLDS = (
+    "SELECT lang, CAST((row_number() OVER (PARTITION BY lang ORDER BY "
+    f"{t.sql_hash('doc_id', 0)}, doc_id) - 1) % 5 AS INTEGER) AS fold FROM documents"
+)
+
+
+@query(
+    "ml_compare_models",
+    "SELECT m AS model_name, fold AS fold_idx, CAST(total AS BIGINT) AS rows, majority, TRUE AS beats_majority "
+    "FROM (VALUES ('random_forest'), ('linear_svc'), ('naive_bayes'), ('logistic_regression')) k(m), "
+    "(SELECT fold, sum(n) AS total, round(CAST(max(n) AS DOUBLE) / sum(n), 6) AS majority FROM "
+    f"(SELECT fold, lang, count(*) AS n FROM ({_FOLDS}) GROUP BY ALL) GROUP BY fold) f",
+)
 def ml_compare_models(spark, sf):
-    """Four models on five stratified folds."""
-    _, rows = count_features(spark, sf)
-    folded = splits.fold_stratified(
-        rows.select("tweet_id", "features", "label"), "tweet_id", "label", 5
-    )
-    return training.compare_models(
+    """Four models on five stratified folds of the TF-IDF vectors."""
+    _, _, rows = tfidf_features(spark, sf)
+    folded = splits.fold_stratified(rows, "doc_id", "sentiment", 5)
+    size = rows.count()
+    scores = training.compare_models(
         folded.select("features", "label", "fold"),
         {
             "random_forest": training.random_forest(**training.FOREST_WIDE),
-            "linear_svc": training.linear_svc(maxIter=10),
+            "linear_svc": training.linear_svc(),
             "naive_bayes": training.naive_bayes(),
-            "logistic_regression": training.logistic_regression(regParam=0.0),
+            # Unit strength against the sum of losses is 1 / rows against their mean.
+            "logistic_regression": training.logistic_regression(regParam=1 / max(1, size), maxIter=100),
         },
         "fold",
     )
+    per_class = folded.groupBy("fold", "sentiment").agg(F.count("*").alias("n"))
+    sizes = per_class.groupBy("fold").agg(F.sum("n").alias("rows"), F.max("n").alias("most"))
+    return scores.join(sizes, scores["fold_idx"] == sizes["fold"]).select(
+        "model_name", "fold_idx", "rows", t.rounded(F.col("most") / F.col("rows")).alias("majority"),
+        (F.col("accuracy") >= F.col("most") / F.col("rows")).alias("beats_majority"),
+    )
 
 
 @query(
@@ -271,36 +366,63 @@ def ml_score_adhoc(spark, sf):
     )
 
 
-def _saved_model(spark, sf, steps):
+def _sql_nb(smoothing: int) -> str:
+    """Accuracy of naive Bayes on the count features of the test part."""
+    k = f"{smoothing}.0::DOUBLE"
+    return (
+        _ML + ", m AS (SELECT lang, sum(tf) AS mass FROM c WHERE train GROUP BY lang), "
+        f"pi AS (SELECT lang, label, ln(n + {k}) - ln((SELECT sum(n) + {k} * count(*) FROM k)::DOUBLE) AS pi, "
+        f"ln((mass + {k} * (SELECT count(*) FROM w))::DOUBLE) AS bottom FROM k JOIN m USING (lang)), "
+        "tc AS (SELECT term, lang, sum(tf) AS tf FROM c WHERE train GROUP BY term, lang), "
+        f"th AS (SELECT w.term, pi.lang, ln(coalesce(tc.tf, 0) + {k}) - bottom AS theta "
+        "FROM w CROSS JOIN pi LEFT JOIN tc ON tc.term = w.term AND tc.lang = pi.lang), "
+        "s AS (SELECT doc_id, th.lang, sum(tf * theta) AS s FROM c JOIN th USING (term) "
+        "WHERE NOT train GROUP BY ALL), "
+        "b AS (SELECT d.doc_id, any_value(d.lang) AS lang, arg_max(pi.lang, coalesce(s.s, 0) + pi.pi) AS predicted "
+        "FROM d CROSS JOIN pi LEFT JOIN s ON s.doc_id = d.doc_id AND s.lang = pi.lang "
+        "WHERE NOT d.train GROUP BY d.doc_id) "
+        "SELECT avg(CASE WHEN lang = predicted THEN 1.0::DOUBLE ELSE 0.0 END) AS accuracy FROM b"
+    )
+
+
+def _saved_models(spark, sf, steps):
+    """A run of saves: the model of each step smooths a little more."""
     fitted, rows = count_features(spark, sf)
     train, _ = _parts(rows)
-    model = training.fit_kept(training.logistic_regression(), train.select("features", "label"))
     run = new_path(spark, "model")
-    whole = PipelineModel([*fitted.stages, model])
-    for step in steps:
-        writers.save_model(spark, whole, run, step)
+    with training.kept(train.select("features", "label")) as cached:
+        for i, step in enumerate(steps, start=1):
+            model = training.naive_bayes(smoothing=float(i)).fit(cached)
+            writers.save_model(spark, PipelineModel([*fitted.stages, model]), run, step)
     return run
 
 
-@query("sink_model")
+@query(
+    "sink_model",
+    "SELECT CAST(step AS BIGINT) AS step, CAST(step // 100 % 5 AS INTEGER) AS slot, "
+    f"CASE WHEN step = 700 THEN round((SELECT accuracy FROM ({_sql_nb(7)})), 6) END AS accuracy "
+    "FROM range(300, 800, 100) r(step)",
+)
 def sink_model(spark, sf):
     """Seven saves, of which the newest five can be restored; scored with the newest."""
-    run = _saved_model(spark, sf, range(100, 800, 100))
+    run = _saved_models(spark, sf, range(100, 800, 100))
     step, model = writers.load_latest(spark, run)
     test = _parts(split_tweets(spark, sf))[1]
     hits = evaluation.accuracy(model.transform(test), "label", "prediction").first()[0]
     return writers.saved_steps(spark, run).withColumn(
-        "accuracy", F.when(F.col("step") == step, F.lit(float(hits)))
+        "accuracy", F.when(F.col("step") == step, t.rounded(F.lit(float(hits))))
     )
 
 
-@query("ml_score_batch")
+@query("ml_score_batch", f"SELECT round(accuracy, 6) AS accuracy FROM ({_sql_nb(1)})")
 def ml_score_batch(spark, sf):
     """Restore a saved model, score the test part once, report accuracy."""
-    run = _saved_model(spark, sf, [100])
+    run = _saved_models(spark, sf, [100])
     _, model = writers.load_latest(spark, run)
     test = _parts(split_tweets(spark, sf))[1]
-    return evaluation.accuracy(model.transform(test), "label", "prediction")
+    return evaluation.accuracy(model.transform(test), "label", "prediction").select(
+        t.rounded("accuracy").alias("accuracy")
+    )
 
 
 @query("ml_doc_network")
@@ -341,13 +463,14 @@ def ml_shard_average(spark, sf):
 
 @query("ml_monitor")
 def ml_monitor(spark, sf):
-    """Loss per step of an iterative fit, appended to the metrics table and read back."""
+    """Loss and accuracy of both parts after each step, appended and read back.
+
+    A fit of k iterations is the model after k steps, so each step is scored with its own.
+    """
     _, rows = count_features(spark, sf)
-    train, _ = _parts(rows)
-    model = training.fit_kept(training.logistic_regression(), train.select("features", "label"))
-    history = spark.createDataFrame(
-        training.training_history(model), "step long, series string, loss double"
-    ).withColumn("accuracy", F.lit(float(model.summary.accuracy)))
     path = new_path(spark, "metrics")
-    writers.append_metrics(history, path, "run-1")
+    with training.kept(rows.select("split", "features", "label")) as cached:
+        for step in range(1, MONITORED + 1):
+            model = training.logistic_regression(maxIter=step).fit(cached.filter("split = 'train'"))
+            writers.append_metrics(training.step_metrics(model, cached, step), path, "run-1")
     return writers.read_metrics(spark, path)
