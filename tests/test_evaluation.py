@@ -89,3 +89,9 @@ def test_losses(spark):
     assert evaluation.log_loss(df, "s", "l").first()[0] == pytest.approx(np.log(2))
     w = spark.createDataFrame([(3.0,), (4.0,)], "w double")
     assert evaluation.l2_penalty(w, "w", 0.1).first()[0] == pytest.approx(1.25)
+
+
+def test_missing_predictions_are_a_class(spark):
+    df = spark.createDataFrame([("a", "a"), ("a", None), (None, "a")], "actual string, predicted string")
+    cells = {(r["actual"], r["predicted"]): r["n"] for r in evaluation.confusion(df, "actual", "predicted").collect()}
+    assert cells == {("a", "a"): 1, ("a", None): 1, (None, "a"): 1, (None, None): 0}

@@ -209,3 +209,20 @@ def test_label_ids(spark):
     assert list(model.labels) == ["c", "a", "b"]
     pairs = labels.class_pairs(rows, "l", "x", "y").collect()
     assert len(pairs) == 6 and all(r["x"] != r["y"] for r in pairs)
+
+
+@pytest.mark.parametrize("labelled", [["x", "x"], ["x", None], ["x", "y"]])
+def test_chi_square_with_one_class_or_no_label(spark, labelled):
+    rows = spark.createDataFrame([(i, lab, "t", 1.0) for i, lab in enumerate(labelled)], "d long, l string, term string, weight double")
+    scored = weights.chi_square(rows, "l", weights.class_shares(rows, "l")).collect()
+    assert {r["l"] for r in scored} == {lab for lab in labelled if lab}
+    assert all(r["chi2"] == 0 for r in scored)
+
+
+def test_lookup_joins_int_with_long_keys(spark):
+    from labelloom.operators.lookup import lookup
+
+    table = spark.range(3000).select(F.col("id").alias("k"), F.lit(1).alias("n"), (F.col("id") * 2).alias("v"))
+    facts = spark.range(3000).select(F.col("id").cast("int").alias("k"), F.col("id").alias("s"))
+    found = lookup(facts, table, "k", "s", "n", broadcast_rows=10)
+    assert found.filter("v = 2 * k").count() == 3000

@@ -113,3 +113,9 @@ def test_shuffle_is_a_reproducible_permutation(spark):
     one = [r["id"] for r in splits.shuffle_rows(ids(spark, 50), "id", 3).collect()]
     assert one == sorted(range(50), key=lambda i: md5(3, i))
     assert one != [r["id"] for r in splits.shuffle_rows(ids(spark, 50), "id", 4).collect()]
+
+
+def test_rows_without_a_key_keep_a_place(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (None, "a")], "id long, label string")
+    assert splits.fold_stratified(df, "id", "label", 2).count() == 3
+    assert splits.shard_equal(df, "id", 2).count() == 3

@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.ml.feature import RegexTokenizer
@@ -92,3 +93,13 @@ def test_ngrams_of_short_lists(spark):
 def test_split_space_keeps_the_empty_token_only_when_faithful(spark):
     assert one(spark, "", T.split_space(F.col("x"), faithful=True)) == [""]
     assert one(spark, "", T.split_space(F.col("x"))) == []
+
+
+@pytest.mark.parametrize("words,text", [(["t", "don't"], "I don't know t"), (["don", "don't", "t"], "I don't know")])
+def test_stop_words_go_in_list_order(spark, words, text):
+    want = text
+    for w in words:
+        want = re.sub(rf"(?<!\w){re.escape(w)}(?!\w)", "", want)
+    got = spark.createDataFrame([(text,)], "x string").select(T.strip_stop_words(F.col("x"), words)).first()[0]
+    assert got == want
+    assert len(T.stop_word_passes(T.ENGLISH_STOP_WORDS)) == 1
