@@ -38,17 +38,24 @@ GRAM = 16
 CHOICE = LENGTH - GRAM + 1
 # Bytes of a stretch at most.
 STRETCH = LENGTH + CHOICE - 1
-_SLICE = 1 << 19
+# Text of a block, and how many more buckets than blocks there are: the strings that meet in
+# a bucket take some ten times their number of 8-byte words.
+BLOCK_BYTES = 4_000_000
+BUCKETS_PER_BLOCK = 2
+_SLICE = 1 << 18
 _LAST = np.iinfo(np.int64).max
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
-def _hashed(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """64-bit hashes of 16 bytes."""
-    h = low * _A
-    h ^= h >> np.uint64(29)
-    h += high * _B
-    h *= _C
+def _hashed(text: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the ``GRAM`` bytes from every position on."""
+    view = letters(text)
+    n = len(text) - GRAM + 1
+    h = view[:n] * _A
+    for at in [*range(8, GRAM - 8, 8), GRAM - 8]:
+        h ^= h >> np.uint64(29)
+        h += view[at : at + n] * _B
+        h *= _C
     h ^= h >> np.uint64(32)
     h *= _A
     return h
@@ -74,8 +81,7 @@ class Block:
         """Stretches of the strings that start at ``at`` and the next ``_SLICE`` positions."""
         total = int(self.ends[-1])
         n = min(_SLICE, total - at)
-        view = letters(self.text[at : min(total, at + n + LENGTH) + GRAM])
-        hashes = _hashed(view[:-8], view[8:])
+        hashes = _hashed(self.text[at : min(total, at + n + LENGTH) + GRAM])
         # The least hash and, of equal ones, the first place, in one number.
         least = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
         width = 1
@@ -126,6 +132,13 @@ class Block:
         np.minimum.at(self.least, self.number, self.keys[self.doc])
 
 
+def _in_order(table: pa.Table) -> pa.Table:
+    """A block's rows by key and text: slices, and so stretches, must not depend on arrival."""
+    keys = [_LAST if k is None else k for k in table.column("_key").to_pylist()]
+    texts = [t or b"" for t in table.column("_text").to_pylist()]
+    return table.take(sorted(range(len(keys)), key=lambda i: (keys[i], texts[i])))
+
+
 def short(hashes: np.ndarray) -> np.ndarray:
     """The part of a hash that is sent: 48 bits beside the bucket."""
     return hashes & np.uint64((1 << 48) - 1)
@@ -143,7 +156,9 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    """Even buckets; an anchor's own hash is small, being the least of many."""
+    mixed = (hashes * _B) >> np.uint64(32)
+    return (mixed * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def _by(groups: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -157,6 +172,7 @@ def _anchors(buckets: int):
     """Step 1, blocks: anchors by bucket, those of one and of several documents apart."""
 
     def run(table: pa.Table) -> pa.Table:
+        table = _in_order(table)
         block = Block(table.column("_key"), table.column("_text"))
         by = np.lexsort((block.keys[block.doc], block.hash))
         h, k = block.hash[by], block.keys[block.doc][by]
@@ -205,6 +221,7 @@ def _stretches(buckets: int):
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
         columns: dict[str, list] = {"bucket": [], "_block": [], "numbers": [], "keys": [], "strings": [], "bytes": []}
         if table.num_rows:
+            table = _in_order(table)
             block, number = _ready(table, told), table.column("_block")[0].as_py()
             one = block.one
             for b, m in _by(_bucket(block.hash[one], buckets)):
@@ -256,8 +273,7 @@ def _cut(columns: list[str]):
     """Step 3, blocks: rows with the bytes that are left of their texts."""
 
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            table = table.slice(0, 0)
+        table = _in_order(table)
         block = _ready(table, told)
         masks = np.zeros(len(block.one), np.uint64)
         for kind, a, b in zip(*(told.column(c).to_pylist() for c in ("kind", "a", "b")), strict=True):
@@ -293,7 +309,8 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     spark = docs.sparkSession
     ship(spark)
     others = [c for c in docs.columns if c != text]
-    blocks = max(part_count(docs, text), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = max(part_count(docs, text, BLOCK_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = BUCKETS_PER_BLOCK * blocks
     placed = docs.select(
         *others, F.col(key).cast("long").alias("_key"), F.col(text).cast("binary").alias("_text"),
         F.pmod(F.xxhash64(F.col(key), F.octet_length(text)), F.lit(blocks)).cast("int").alias("_block"),
@@ -302,12 +319,12 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     grouped = placed.groupBy("_block")
     told = "_block int, kind int, a binary, b binary"
     repeated = (
-        grouped.applyInArrow(_anchors(blocks), "bucket int, _block int, one binary, more binary")
+        grouped.applyInArrow(_anchors(buckets), "bucket int, _block int, one binary, more binary")
         .groupBy("bucket").applyInArrow(_repeated, told)
     )
     earlier = (
         grouped.cogroup(repeated.groupBy("_block"))
-        .applyInArrow(_stretches(blocks), "bucket int, _block int, numbers binary, keys binary, strings binary, bytes binary")
+        .applyInArrow(_stretches(buckets), "bucket int, _block int, numbers binary, keys binary, strings binary, bytes binary")
         .groupBy("bucket").applyInArrow(_sorted, told)
     )
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text]

@@ -150,6 +150,21 @@ def test_repeats_slices_long_texts(spark, monkeypatch):
     assert len(covered) == sum(len(t.encode()) - 49 for _, t in rows)
 
 
+def test_blocks_do_not_depend_on_arrival(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(repeats, "_SLICE", 211)
+    rows = [(r[0], (r[1] or "").encode(), 3) for r in corpus()[-40:]]
+    hashes = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        table = pa.table({"_key": [r[0] for r in rows], "_text": [r[1] for r in rows], "_block": [r[2] for r in rows]})
+        sent = repeats._anchors(5)(table)
+        told = repeats._repeated(sent)
+        hashes.append((told.to_pydict(), repeats._stretches(5)(table, told).to_pydict()))
+    assert hashes[0] == hashes[1] and hashes[0][1]["bytes"]
+
+
 def test_mixing(docs):
     sized = docs.select(F.col("doc_id").alias("id"), "source", mixing.word_count().alias("size"))
     got = mixing.assign(sized, "id", shards=4).collect()
