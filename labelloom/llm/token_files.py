@@ -21,6 +21,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -37,18 +38,19 @@ from labelloom.storage import new_path, written
 SEQUENCE = 1024
 BATCH = 256
 END_ID = 2
-# Remembered words per task.
-_WORDS = 400_000
-# Beyond single spaces between other characters, white space is left to the library.
-_ODD_SPACE = re.compile(r"  |[^\S ] (?:\s|\Z)")
+# Remembered runs between spaces, and remembered pieces of them.
+_RUNS, _PIECES = 500_000, 500_000
+# Beyond single spaces, white space before a space is left to the library.
+_ODD_SPACE = re.compile(r"[^\S ] ")
 
 
 class WordEncoder:
     """Ids of texts from the tokenizers library, which sees each word once.
 
-    The pattern of a byte-level tokenizer always cuts before a single space, so the pieces
-    that begin there are encoded apart, and remembered. Texts with other runs of spaces or
-    with special tokens are encoded whole.
+    The pattern of a byte-level tokenizer always cuts before a single space, around a single
+    line feed and between letters and a mark behind them, so the pieces that begin there are
+    encoded apart, and remembered. Texts with other runs of spaces or with special tokens
+    are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -58,25 +60,49 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype(np.uint16 if size <= 1 << 16 else np.uint32)
+        self._code = "H" if self.dtype == np.uint16 else "I"
         self._special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self._known: dict[str, bytes] = {}
+        self._runs: dict[str, bytes] = {}
+        self._pieces: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        return [array(self._code, e.ids).tobytes() for e in found]
+
+    def _learn(self, runs: set[str]) -> None:
+        """Remember runs, which stand behind a space."""
+        cut = {r: _cut(" " + r) for r in runs}
+        new = list({p for pieces in cut.values() for p in pieces if p not in self._pieces})
+        if len(self._pieces) + len(new) > _PIECES:
+            self._pieces.clear()
+            new = list({p for pieces in cut.values() for p in pieces})
+        if new:
+            self._pieces.update(zip(new, self._ids(new), strict=True))
+        if len(self._runs) + len(runs) > _RUNS:
+            self._runs.clear()
+        known = self._pieces.__getitem__
+        self._runs.update((r, b"".join(map(known, pieces))) for r, pieces in cut.items())
 
     def encode(self, text: str) -> bytes:
-        if _ODD_SPACE.search(text) or any(s in text for s in self._special):
+        if "  " in text or _ODD_SPACE.search(text) or any(s in text for s in self._special):
             return self._ids([text])[0]
-        first, *words = text.split(" ")
-        known = self._known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > _WORDS:
-                known.clear()
-                new = list(set(words))
-            known.update(zip(new, self._ids([" " + w for w in new]), strict=True))
-        return b"".join([self._ids([first])[0] if first else b"", *map(known.__getitem__, words)])
+        first, *runs = text.split(" ")
+        ids = list(map(self._runs.get, runs))
+        if None in ids:
+            self._learn({r for r, i in zip(runs, ids, strict=True) if i is None})
+            # Learning may have made room by forgetting.
+            ids = [self._runs.get(r) if i is None else i for r, i in zip(runs, ids, strict=True)]
+        return b"".join([self._ids([first])[0] if first else b"", *ids])
+
+
+def _cut(run: str) -> list[str]:
+    """Pieces of a run that the pattern always tells apart."""
+    before, feed, after = run.partition("\n")
+    if feed and before and after and not before[-1].isspace() and not after[0].isspace():
+        return [*_cut(before), feed, *_cut(after)]
+    if run[-1] in ".,;:!?" and run[1 if run[0] == " " else 0 : -1].isalpha():
+        return [run[:-1], run[-1]]
+    return [run]
 
 
 @cache
