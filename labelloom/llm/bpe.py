@@ -89,6 +89,9 @@ class Merges:
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return parts
 
+    def forget(self) -> None:
+        self._follows.clear()
+
     def whole(self, token: str) -> bool:
         """True if the letters of a token merge to it."""
         known = self._whole.get(token)
@@ -278,6 +281,12 @@ class Encoder:
             return b"".join(self._added.get(p) or self._plain(p) for p in self._cut(text))
         return self._plain(text)
 
+    def forget(self) -> None:
+        """Drop what is remembered: a worker keeps its memory while others work."""
+        self._runs.clear()
+        self._known.clear()
+        self.merges.forget()
+
     def decoder(self) -> Decoder:
         return Decoder(self.tokens, self.byte_level)
 
@@ -302,6 +311,7 @@ def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
                     [part.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string())],
                     names=["key", "ids", "decoded"],
                 )
+        encoder.forget()
 
     ship(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -341,6 +351,7 @@ def token_digests(
             if with_ids:
                 columns["ids"] = pa.array(all_ids, pa.binary())
             yield pa.RecordBatch.from_pydict(columns)
+        encoder.forget()
 
     ship(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))

@@ -269,8 +269,8 @@ def _sorted(table: pa.Table) -> pa.Table:
     })
 
 
-def _cut(columns: list[str]):
-    """Step 3, blocks: rows with the bytes that are left of their texts."""
+def _cut(columns: list[str], as_text: bool):
+    """Step 3, blocks: rows with the bytes that are left of their texts, or the text of these."""
 
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
         table = _in_order(table)
@@ -297,15 +297,21 @@ def _cut(columns: list[str]):
         out = {c: table.column(c) for c in columns}
         out |= {
             "_n_bytes": pa.array(block.ends - block.begins, pa.int64()), "_n_removed": pa.array(removed, pa.int64()),
-            "_n_spans": pa.array(spans, pa.int64()), "_kept": pa.array(kept, pa.binary()),
+            "_n_spans": pa.array(spans, pa.int64()),
+            "_kept": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()),
         }
         return pa.table(out)
 
     return run
 
 
-def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without ``text``, with ``_n_bytes, _n_removed, _n_spans`` and ``_kept`` (binary)."""
+def cut_repeats(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", as_text: bool = False
+) -> DataFrame:
+    """``docs`` without ``text``, with ``_n_bytes, _n_removed, _n_spans`` and ``_kept`` (binary).
+
+    ``as_text`` returns ``_kept`` as text; a character that lost some of its bytes goes altogether.
+    """
     spark = docs.sparkSession
     ship(spark)
     others = [c for c in docs.columns if c != text]
@@ -329,23 +335,15 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     )
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text]
     return grouped.cogroup(repeated.union(earlier).groupBy("_block")).applyInArrow(
-        _cut(others), ", ".join([*kinds, "_n_bytes bigint", "_n_removed bigint", "_n_spans bigint", "_kept binary"])
+        _cut(others, as_text),
+        ", ".join([*kinds, "_n_bytes bigint", "_n_removed bigint", "_n_spans bigint", f"_kept {'string' if as_text else 'binary'}"]),
     )
 
 
-def _valid(batches):
-    """Bytes to text; a character that lost some of its bytes goes altogether."""
-    for batch in batches:
-        at = batch.schema.get_field_index("_kept")
-        texts = pa.array([b.decode("utf-8", "ignore") for b in batch.column(at).to_pylist()], pa.string())
-        yield batch.set_column(at, "_kept", texts)
-
-
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with what is left of ``text``; every row stays."""
-    left = cut_repeats(docs, key, text).drop("_n_bytes", "_n_removed", "_n_spans")
-    kinds = ", ".join(f"`{f.name}` {'string' if f.name == '_kept' else f.dataType.simpleString()}" for f in left.schema)
-    return left.mapInArrow(_valid, kinds).withColumnRenamed("_kept", text).select(*docs.columns)
+    left = cut_repeats(docs, key, text, as_text=True)
+    return left.drop("_n_bytes", "_n_removed", "_n_spans").withColumnRenamed("_kept", text).select(*docs.columns)
 
 
 @query("op3_suffix_dedup")
