@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from labelloom.llm.common import ship
 from labelloom.llm.components import components
+from labelloom.llm.near import near_copies
 from labelloom.plans.registry import query
 from labelloom.storage import written
 
@@ -60,18 +61,18 @@ def simhash(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fp = np.array([simhash(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+        fp = np.array([simhash(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["key", "fp"])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``(key, fp)`` of every row."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(_fingerprints, f"key {kind}, fp bigint")
+    return rows.mapInArrow(lambda batches: _fingerprints(batches, shingle), f"key {kind}, fp bigint")
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -108,9 +109,9 @@ def links(fps: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``(key, fp, component)`` of every row; the component is the least key reachable."""
-    marked = written(fingerprints(docs, key, text), "fingerprints")
+    marked = written(fingerprints(docs, key, text, shingle), "fingerprints")
     # Copies fall together before anything moves.
     fps = written(marked.groupBy("fp").agg(F.min("key").alias("key"), F.count("*").alias("n")), "distinct-fingerprints")
     roots = components(links(fps.select("fp", "key").filter("key is not null")))
@@ -135,12 +136,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return known.union(asked)
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicate(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float | None = None
+) -> DataFrame:
     """One row of each group: the one with the least key. All columns stay.
 
-    Of rows that repeat a key one stays; rows without a key cannot be named and all stay.
+    Groups are those of ``near_duplicates``, or with a ``similarity`` those of texts whose
+    shingles have that Jaccard similarity (``near.near_copies``). Of rows that repeat a key
+    one stays; rows without a key cannot be named and all stay.
     """
-    groups = near_duplicates(docs, key, text)
+    if similarity is None:
+        groups = near_duplicates(docs, key, text, shingle)
+    else:
+        groups = near_copies(docs, key, text, shingle, similarity)
     stay = written(
         groups.groupBy("key", "component").agg(F.count("*").alias("n"))
         .filter(F.col("key") == F.col("component")).select(F.col("key").alias("_key"), "n"),

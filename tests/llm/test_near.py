@@ -1,0 +1,94 @@
+"""Near copies by wide SimHash against brute force over the shingles of all pairs."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from labelloom.llm import near, simhash
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(r, n):
+    return [f"{r.randrange(10**6)}" for _ in range(n)]
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def corpus():
+    """Near copies on both sides of 0.8, a chain, a dense group, a shared passage, nulls and short texts."""
+    r = random.Random(17)
+    texts = []
+    for _ in range(60):  # five shingles go with each changed word
+        base = prose(r, 200)
+        texts.append(base)
+        for changed in (1, 2, 3, 4, 5):
+            w = list(base)
+            for k in r.sample(range(10, 190), changed):
+                w[k] = "changed"
+            texts.append(w)
+    w = prose(r, 150)
+    for _ in range(8):
+        texts.append(w)
+        w = [*w[10:], *prose(r, 10)]
+    base = prose(r, 120)
+    for k in range(60):
+        texts.append([*base[:k], "x", *base[k + 1 :]])
+    passage = prose(r, 30)
+    texts += [[*prose(r, 30), *passage] for _ in range(50)]
+    texts += [prose(r, 8), ["a", "b"], ["A", "b"], []]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    rows.append((len(rows), None))
+    order = list(range(len(rows)))
+    r.shuffle(order)
+    return [(order[i], t) for i, t in rows]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def least(rows):
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a in sets:
+        for b in sets:
+            if a < b and (sets[a] & sets[b] or not sets[a] | sets[b]) and jaccard(sets[a], sets[b]) >= 0.8:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}
+
+
+@pytest.fixture(scope="module")
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA).repartition(4)
+
+
+def test_near_copies(frame, least):
+    assert len(set(least.values())) < len(least) - 100
+    assert {g["key"]: g["component"] for g in near.near_copies(frame).collect()} == least
+
+
+def test_pipeline_stage_keeps_one(frame, least, spark):
+    assert {g["doc_id"] for g in corpus_pipeline.keep_one(spark, frame, "").collect()} == set(least.values())
+
+
+def test_near_copies_defined_cases(spark):
+    r = random.Random(4)
+    base, other = " ".join(prose(r, 40)), " ".join(prose(r, 40))
+    rows = [(3, base), (3, other), (1, base), (2, other), (None, base), (None, " ".join(prose(r, 40)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(str, (tuple(g) for g in near.near_copies(df).collect())))
+    assert got == sorted(map(str, [(3, 1), (3, 1), (1, 1), (2, 1), (None, 1), (None, None)]))
+    assert near.near_copies(df.limit(0)).count() == simhash.deduplicate(df.limit(0), shingle=5, similarity=0.8).count() == 0
