@@ -13,7 +13,7 @@ least 80 % of the template's shingles.
 
 Defined cases: null and empty texts match nothing; rows that repeat an id are scanned one by
 one and give a match per row; rows without an id give matches without one; a template must
-have five words at least. Extra columns are ignored.
+have as many words as a shingle: five, or three in the scan of short notices. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,9 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelloom.llm.license_texts import SHORT, TEXTS
 from labelloom.plans.registry import query
 
 SHINGLE = 5
+# Shingles of notices that have fewer words than that.
+SHORT_SHINGLE = 3
 BANDS = 64
 CONTAINED = 0.8
 MARKS = ".,;:()[]{}<>\"'!?/*#\t\n\r\x0b\x0c"
@@ -39,6 +42,7 @@ TEMPLATES = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    *TEXTS,
 ]
 
 
@@ -47,12 +51,12 @@ def _words(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(plain, " "), ""), lambda w: F.xxhash64(w))
 
 
-def _with_shingles(df: DataFrame, text: str, name: str) -> DataFrame:
+def _with_shingles(df: DataFrame, text: str, name: str, shingle: int) -> DataFrame:
     """Add the hashes of all shingles, in text order; an array of its own per stage."""
     g = F.col("_w")
-    hashes = F.transform(g, lambda x, i: F.xxhash64(x, *[F.get(g, i + k) for k in range(1, SHINGLE)]))
+    hashes = F.transform(g, lambda x, i: F.xxhash64(x, *[F.get(g, i + k) for k in range(1, shingle)]))
     return df.withColumn("_w", _words(F.col(text))).withColumn(
-        name, F.when(F.size(g) >= SHINGLE, F.slice(hashes, 1, F.size(g) - (SHINGLE - 1)))
+        name, F.when(F.size(g) >= shingle, F.slice(hashes, 1, F.size(g) - (shingle - 1)))
     ).drop("_w")
 
 
@@ -64,35 +68,37 @@ def _bands(shingles: str) -> Column:
     )
 
 
-def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
+def template_table(spark: SparkSession, templates: list[tuple[str, str]], shingle: int = SHINGLE) -> DataFrame:
     """``(license, notice, shingles, c)``: as many rows as templates; ``c`` is the size class."""
     rows = spark.range(1).select(F.explode(F.array(*[
         F.struct(F.lit(n).alias("license"), F.lit(i).alias("notice"), F.lit(t).alias("text"))
         for i, (n, t) in enumerate(templates)
     ])).alias("t")).select("t.*")
     size = F.pow(F.lit(2), F.ceil(F.log2(F.size("shingles")))).cast("int")
-    return _with_shingles(rows, "text", "_s").select(
+    return _with_shingles(rows, "text", "_s", shingle).select(
         "license", "notice", F.array_distinct("_s").alias("shingles")
     ).withColumn("c", size)
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] | None = None) -> DataFrame:
+def scan(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] | None = None, shingle: int = SHINGLE
+) -> DataFrame:
     """``(key, license, notice, containment, word)``: best window per row and template.
 
     ``word`` is the number of the window's first template word.
     """
     spark = docs.sparkSession
-    table = template_table(spark, templates or TEMPLATES)
-    # A few hundred hashes, as many as the given templates have shingles.
+    table = template_table(spark, templates or TEMPLATES, shingle)
+    # Some two thousand hashes, as many as the given templates have shingles.
     known = table.collect()
     if any(not r["shingles"] for r in known):
-        raise ValueError(f"a template must have {SHINGLE} words")
+        raise ValueError(f"a template must have {shingle} words")
     classes: dict[int, set[int]] = {}
     for r in known:
         classes.setdefault(r["c"], set()).update(r["shingles"])
     universe = sorted(set().union(*classes.values()))
     places = F.transform("_s", lambda h, i: F.struct(i.alias("i"), h.alias("h")))
-    hit = _with_shingles(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", "_s").select(
+    hit = _with_shingles(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", "_s", shingle).select(
         "key", F.filter(places, lambda e: e["h"].isin(universe)).alias("e"),
         # Beside the row's number the filter stays above the arrays that it looks at.
         F.monotonically_increasing_id().alias("row"),
@@ -129,17 +135,17 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: li
     )
 
 
-def _sql() -> str:
+def _sql(templates: list[tuple[str, str]] = TEMPLATES, shingle: int = SHINGLE) -> str:
     marks = "".join("\\" + c if c in "[]" else c.replace("'", "''") for c in MARKS if c >= " ") + r"\t\n\r\x0b\x0c"
     words = lambda t: f"list_filter(string_split(regexp_replace(lower(coalesce({t}, '')), '[{marks}]', ' ', 'g'), ' '), lambda w: w <> '')"
-    rows = ", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(TEMPLATES))
+    rows = ", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(templates))
     return rf"""
 WITH tw AS (SELECT notice, license, {words('t')} AS w FROM (VALUES {rows}) AS v(notice, license, t)),
-ts AS (SELECT DISTINCT notice, license, w[i:i + {SHINGLE - 1}] AS g FROM tw, unnest(generate_series(1, len(w) - {SHINGLE - 1})) AS u(i)),
+ts AS (SELECT DISTINCT notice, license, w[i:i + {shingle - 1}] AS g FROM tw, unnest(generate_series(1, len(w) - {shingle - 1})) AS u(i)),
 size AS (SELECT notice, count(*) AS total FROM ts GROUP BY notice),
 class AS (SELECT DISTINCT g, pow(2, ceil(log2(total)))::BIGINT AS c FROM ts JOIN size USING (notice)),
 dw AS (SELECT doc_id, {words('text')} AS w FROM documents),
-ds AS (SELECT doc_id, i - 1 AS i, w[i:i + {SHINGLE - 1}] AS g FROM dw, unnest(generate_series(1, len(w) - {SHINGLE - 1})) AS u(i)),
+ds AS (SELECT doc_id, i - 1 AS i, w[i:i + {shingle - 1}] AS g FROM dw, unnest(generate_series(1, len(w) - {shingle - 1})) AS u(i)),
 hit AS (SELECT doc_id, i, g, c FROM ds JOIN class USING (g)),
 win AS (SELECT DISTINCT doc_id, i, g, c, n FROM (SELECT *, unnest([i // c, greatest(i // c - 1, 0)]) AS n FROM hit)),
 inside AS (SELECT * FROM win WHERE i >= n * c AND i < (n + 2) * c),
@@ -157,3 +163,10 @@ def op8(spark, sf):
     """License notices in all documents."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     return scan(docs).withColumnRenamed("key", "doc_id")
+
+
+@query("op8_short_notices", _sql(SHORT, SHORT_SHINGLE))
+def op8_short(spark, sf):
+    """License notices of under five words in all documents."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    return scan(docs, templates=SHORT, shingle=SHORT_SHINGLE).withColumnRenamed("key", "doc_id")
