@@ -1,5 +1,5 @@
 """Importing this module registers the queries of the package."""
 
 from labelloom.llm import (  # noqa: F401
-    bpe, licenses, mixing, multiset, quality, repeats, sharding, simhash, token_files, warc,
+    bpe, collocations, licenses, mixing, multiset, quality, repeats, sharding, simhash, token_files, warc,
 )
