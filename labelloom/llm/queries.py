@@ -1,5 +1,5 @@
 """Importing this module registers the queries of the package."""
 
 from labelloom.llm import (  # noqa: F401
-    bpe, collocations, licenses, mixing, multiset, quality, ranking, repeats, sharding, simhash, token_files, warc,
+    bpe, collocations, language_model, licenses, mixing, multiset, quality, ranking, repeats, sharding, simhash, token_files, warc,
 )
