@@ -129,7 +129,7 @@ class _Bucket:
         self.doc = np.repeat(np.arange(self.size), np.diff(self.begin))
         self.impact = 1_000_000_000 * tf // (1000 * tf + 8 * m[self.doc])
         self.value = self.impact * np.sqrt(weights[self.terms])
-        self.square = np.bincount(self.doc, self.value**2, self.size)
+        self.square = np.bincount(self.doc, self.value**2, self.size).astype(float)
 
     def invert(self) -> None:
         self.order = np.argsort(self.terms, kind="stable")
