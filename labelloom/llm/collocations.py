@@ -9,9 +9,9 @@ this goes on until the border is closed. A frequent phrase has frequent parts, s
 every frequent phrase has been counted. What the sample misses costs a pass, never a phrase.
 
 Proposals reach the tasks as a bit table of ``FILTER_BITS`` at most, whatever their number.
-A chance hit in it only has one more phrase counted. Each pass asks the tables of this and
-the earlier pass and counts exactly what passes the one and not the other, so no occurrence
-is counted twice. Tasks count within chunks of text; sums over chunks are shuffled by phrase.
+A chance hit in it only has one more phrase counted. Each pass has a table of its own and
+counts exactly what passes with it and not without it, so no occurrence is counted twice.
+Tasks count within chunks of text; sums over chunks are shuffled by phrase.
 
 Defined cases: a null or empty text has no words; a null language is ``und``; rows that
 repeat a key or a text count each; without words there are no rows; columns other than text
@@ -43,11 +43,14 @@ COVERED_PERCENT = 80
 UNKNOWN = "und"
 # One document of so many is in the sample.
 SAMPLE = 8
+SAMPLE_LIMIT = 0.8
 # Bits of the table of proposals, at most, and bits per proposal.
 FILTER_BITS = 1 << 27
 _BITS_EACH = 16
 # Words that a task counts together.
-_CHUNK = 2_000_000
+_CHUNK = 1_000_000
+# Rows that a task hands on at a time.
+_ROWS = 50_000
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
 _COUNTS = "lang string, size int, phrase string, n bigint"
 # A-Z become a-z, piece ends line feeds and tabs spaces.
@@ -106,52 +109,77 @@ def _distinct(ids: np.ndarray, at: np.ndarray, size: int, n_words: int) -> tuple
     return at[first], n
 
 
+def _known(tables: list[np.ndarray], hashes: np.ndarray, size: int) -> np.ndarray:
+    found = np.zeros(len(hashes), bool)
+    for table in tables:
+        found |= _holds(table, hashes, size)
+    return found
+
+
+def _counted_now(tables: list[np.ndarray], rolled: np.ndarray, valid: np.ndarray, size: int) -> np.ndarray:
+    """Places whose phrase of ``size`` + 1 words is counted in the pass of the last table."""
+    *old, new = tables
+    fresh = valid & _holds(new, rolled, size)
+    if not old:
+        return np.flatnonzero(fresh[:-1] & fresh[1:])
+    at = np.flatnonzero(fresh)
+    at = np.unique(np.concatenate([at - 1, at]))
+    at = at[(at >= 0) & (at < len(valid) - 1)]
+    at = at[valid[at] & valid[at + 1]]
+    here, next_one = (_known(old, rolled[at + k], size) for k in (0, 1))
+    return at[(here | fresh[at]) & (next_one | fresh[at + 1]) & ~(here & next_one)]
+
+
 def _count_chunk(
-    lang: str, ids: np.ndarray, words: list[bytes], new: np.ndarray | None, old: np.ndarray | None, longest: int
+    lang: str, ids: np.ndarray, words: list[bytes], tables: list[np.ndarray], longest: int
 ) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases of one language that one pass counts; all phrases without tables."""
+    """Counts of the phrases of one language that one pass counts; all phrases without tables.
+
+    The pass of the first table also counts all words: size 0.
+    """
     names = pa.array(words, pa.binary())
 
-    def rows(places: np.ndarray, size: int, n: np.ndarray) -> pa.RecordBatch:
-        parts = [names.take(pa.array(ids[places + k])) for k in range(size)]
-        phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())) if size > 1 else parts[0]
+    def rows(places: np.ndarray, size: int, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(n), _ROWS):
+            some = places[at : at + _ROWS]
+            parts = [names.take(pa.array(ids[some + k])) for k in range(size)]
+            phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())) if size > 1 else parts[0]
+            yield batch(size, phrase.cast(pa.string()), n[at : at + _ROWS])
+
+    def batch(size: int, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.repeat(pa.scalar(lang), len(n)), pa.repeat(pa.scalar(size, pa.int32()), len(n)), phrase.cast(pa.string()), pa.array(n, pa.int64())],
+            [pa.repeat(pa.scalar(lang), len(n)), pa.repeat(pa.scalar(size, pa.int32()), len(n)), phrases, pa.array(n, pa.int64())],
             names=["lang", "size", "phrase", "n"],
         )
 
     valid = ids >= 0
-    if old is None:
+    if len(tables) < 2:
         places, n = _distinct(ids, np.flatnonzero(valid), 1, len(words))
-        yield rows(places, 1, n)
-    single = _hashes(words, lang)[ids] if len(words) else np.zeros(len(ids), np.uint64)
+        yield from rows(places, 1, n)
+        yield batch(0, pa.array([""]), np.array([valid.sum()]))
+    single = _hashes(words, lang)[ids] if words else np.zeros(len(ids), np.uint64)
     rolled = single
     for size in range(2, longest + 1):
         # Whether the phrases of one word less, here and one word on, are proposed.
-        open_now = valid if new is None else valid & _holds(new, rolled, size - 1)
-        take = open_now[:-1] & open_now[1:]
-        if old is not None:
-            open_before = valid & _holds(old, rolled, size - 1)
-            take &= ~(open_before[:-1] & open_before[1:])
-        at = np.flatnonzero(take)
+        at = _counted_now(tables, rolled, valid, size - 1) if tables else np.flatnonzero(valid[:-1] & valid[1:])
         if len(at):
             places, n = _distinct(ids, at, size, len(words))
-            yield rows(places, size, n)
+            yield from rows(places, size, n)
         rolled = rolled[:-1] * _ROLL + single[size - 1 :]
         valid = valid[:-1] & valid[1:]
 
 
-def _pass(docs: DataFrame, new=None, old=None, longest: int = LONGEST) -> DataFrame:
+def _pass(docs: DataFrame, tables: list, longest: int = LONGEST) -> DataFrame:
     """``(lang, size, phrase, n)`` of the phrases that a pass counts; see ``_count_chunk``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = (new and new.value, old and old.value)
+        held_tables = [t.value for t in tables]
         chunk: dict = defaultdict(lambda: (_Numbers(), []))
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, (numbers, found) in chunk.items():
-                yield from _count_chunk(lang, np.concatenate(found), list(numbers), *tables, longest)
+                yield from _count_chunk(lang, np.concatenate(found), list(numbers), held_tables, longest)
             chunk.clear()
 
         for batch in batches:
@@ -202,45 +230,35 @@ def frequent_phrases(
     """``(lang, size, phrase, n)`` of all phrases of 1 to ``longest`` words with ``n`` of
     ``min_count`` or more, and ``(lang, n)``: all words. Both are written tables.
 
-    The sample takes documents by a hash of the text and a place in the scan; it only
-    proposes. Its limit is two thirds of what a phrase at ``min_count`` has there on average.
+    The sample takes documents by a hash of language and text; it only proposes. Its limit is ``SAMPLE_LIMIT`` of what a phrase at ``min_count`` has there on average.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     chosen = rows.filter(F.pmod(F.xxhash64("lang", "text"), F.lit(sample)) == 0)
-    least = max(1, round(min_count / sample * 2 / 3))
+    least = max(1, round(SAMPLE_LIMIT * min_count / sample))
     proposed = written(
-        _pass(chosen, longest=longest - 1).filter(F.col("n") >= least).select("lang", "size", "phrase"), "proposed-phrases"
+        _pass(chosen, [], longest - 1).filter((F.col("n") >= least) & (F.col("size") > 0)).select("lang", "size", "phrase"),
+        "proposed-phrases",
     )
-    wanted = _BITS_EACH * max(1, proposed.count())
-    bits = min(filter_bits, 1 << max(10, (wanted - 1).bit_length()))
-    new, old, counted, totals = _filter_bits(proposed, bits), None, [], None
+    fresh, tables, counted = proposed, [], []
     while True:
-        shared = [None if t is None else spark.sparkContext.broadcast(t) for t in (new, old)]
-        every = _pass(rows, *shared, longest=longest)
-        if totals is None:  # the first pass counts every word
-            every = written(every.filter((F.col("size") == 1) | (F.col("n") >= min_count)), "counted-phrases")
-            totals = written(every.filter("size = 1").groupBy("lang").agg(F.sum("n").alias("n")), "counted-words")
-            every = every.filter(F.col("n") >= min_count)
-        else:
-            every = written(every.filter(F.col("n") >= min_count), "counted-phrases")
-        counted.append(every)
-        failed = written(
-            every.filter(F.col("size") < longest).join(proposed, ["lang", "phrase"], "left_anti"), "border-failures"
+        wanted = _BITS_EACH * max(1, fresh.count())
+        bits = min(filter_bits, 1 << max(10, (wanted - 1).bit_length()))
+        tables.append(spark.sparkContext.broadcast(_filter_bits(fresh, bits)))
+        counted.append(written(
+            _pass(rows, tables, longest).filter((F.col("n") >= min_count) | (F.col("size") == 0)), "counted-phrases"
+        ))
+        fresh = written(
+            counted[-1].filter(F.col("size").between(1, longest - 1)).join(proposed, ["lang", "phrase"], "left_anti"),
+            "border-failures",
         )
-        for one in shared:
-            if one is not None:
-                one.unpersist()
-        if failed.isEmpty():
+        if fresh.isEmpty():
             break
-        # A phrase that was counted may be proposed already, never the other way round: the
-        # tables grow from pass to pass.
-        old, new = new, new | _filter_bits(failed, bits)
     out = counted[0]
     for more in counted[1:]:
         out = out.unionByName(more)
-    return out, totals
+    return out.filter("size > 0"), counted[0].filter("size = 0").select("lang", "n").filter("n > 0")
 
 
 def collocations(
