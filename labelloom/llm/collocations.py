@@ -53,26 +53,31 @@ _CHUNK = 1_000_000
 _ROWS = 50_000
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
 _COUNTS = "lang string, size int, phrase string, n bigint"
-# A-Z become a-z, piece ends line feeds and tabs spaces.
+# A-Z become a-z, piece ends full stops.
 _PLAIN = bytes(
-    10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256)
+    46 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256)
 )
 
 
 class _Numbers(dict):
-    """Number of a word in order of first use."""
+    """Number of a word in order of first use; the end of a piece is -1."""
+
+    def __init__(self) -> None:
+        super().__init__({b".": -1})
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
+        self[word] = n = len(self) - 1
         return n
 
+    def words(self) -> list[bytes]:
+        return list(self)[1:]
+
 
 def _word_numbers(text: bytes, numbers: _Numbers) -> np.ndarray:
     """Numbers of the words of a text, -1 behind every piece."""
-    tokens = text.translate(_PLAIN).replace(b"\n", b" \n ").split(b" ")
-    ids = [-1 if t == b"\n" else numbers[t] for t in tokens if t]
-    ids.append(-1)
-    return np.array(ids, np.int64)
+    # Of what split() cuts at, space and tab are left.
+    tokens = (text.translate(_PLAIN) + b".").replace(b".", b" . ").split()
+    return np.array(list(map(numbers.__getitem__, tokens)), np.int64)
 
 
 def _hashes(words: list[bytes], lang: str) -> np.ndarray:
@@ -179,7 +184,7 @@ def _pass(docs: DataFrame, tables: list, longest: int = LONGEST) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, (numbers, found) in chunk.items():
-                yield from _count_chunk(lang, np.concatenate(found), list(numbers), held_tables, longest)
+                yield from _count_chunk(lang, np.concatenate(found), numbers.words(), held_tables, longest)
             chunk.clear()
 
         for batch in batches:
