@@ -37,24 +37,32 @@ def hash_threshold(share: float) -> str:
     return f"{math.floor(share * 16**13):013x}"
 
 
-def _with_offsets(
-    rows: DataFrame, within: Sequence[str], bucket: str, weight: Column
+def _in_buckets(
+    rows: DataFrame, within: Sequence[str], bucket: str, order: Sequence[str], value: Column, weight: Column, name: str
 ) -> DataFrame:
-    """Add ``_before`` and ``_total``: weight of the group's earlier buckets, of all its rows."""
-    counts = rows.groupBy(*within, bucket).agg(F.sum(weight).alias("_n"))
+    """Add ``name``: ``value`` over the rows of a (group, bucket) up to this one, plus the
+    weight of the group's earlier buckets; and ``_total``, the weight of the group.
+
+    Rows are laid out once, by one key that is never NULL; the bucket sizes are laid out the
+    same and joined to the rows where they are.
+    """
+    placed = rows.withColumn("_g", F.struct(*within, bucket))
     # One row per bucket: at most 16**BUCKET_DIGITS (or RANGE_BUCKETS) rows per group.
-    earlier = (
-        W.partitionBy(*within).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    )
+    counts = placed.groupBy("_g").agg(F.sum(weight).alias("_n"))
+    groups = [F.col(f"_g.{c}") for c in within]
+    earlier = W.partitionBy(*groups).orderBy(f"_g.{bucket}").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(
-        *[F.col(c).alias(f"_o_{c}") for c in (*within, bucket)],
+        F.col("_g").alias("_o"),
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_n").over(W.partitionBy(*within)).alias("_total"),
+        F.sum("_n").over(W.partitionBy(*groups)).alias("_total"),
+    )
+    inside = W.partitionBy("_g").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = placed.withColumn("_inside", value.over(inside))
+    return (
+        ranked.join(offsets, ranked["_g"] == offsets["_o"])
+        .withColumn(name, (F.col("_inside") + F.col("_before")).cast("long"))
+        .drop("_g", "_o", "_inside", "_before")
     )
-    cond = rows[bucket] == offsets[f"_o_{bucket}"]
-    for c in within:
-        cond = cond & rows[c].eqNullSafe(offsets[f"_o_{c}"])
-    return rows.join(offsets, cond).drop(*[f"_o_{c}" for c in (*within, bucket)])
 
 
 def hash_rank(
@@ -75,11 +83,7 @@ def hash_rank(
     rows = df.withColumn("_h", F.coalesce(hash_key(key, seed), F.lit("0" * 32))).withColumn(
         "_b", F.substring("_h", 1, digits)
     )
-    placed = _with_offsets(rows, within, "_b", F.lit(1))
-    inside = W.partitionBy(*within, "_b").orderBy("_h", key)
-    return placed.withColumn(
-        name, (F.row_number().over(inside) + F.col("_before")).cast("long")
-    ).drop("_h", "_b", "_before", "_total")
+    return _in_buckets(rows, within, "_b", ["_h", key], F.row_number(), F.lit(1), name).drop("_h", "_b", "_total")
 
 
 def order_rank(df: DataFrame, order: str, name: str = "rank") -> DataFrame:
@@ -125,11 +129,7 @@ def key_rank(
 ) -> DataFrame:
     """Rank rows 1, 2, ... in the order of a unique numeric key, over ranges of it."""
     rows = value_buckets(df.withColumn("_v", F.col(key).cast("double")), "_v")
-    placed = _with_offsets(rows, within, "_b", F.lit(1))
-    inside = W.partitionBy(*within, "_b").orderBy(key)
-    return placed.withColumn(
-        name, (F.row_number().over(inside) + F.col("_before")).cast("long")
-    ).drop("_v", "_b", "_before", "_total")
+    return _in_buckets(rows, within, "_b", [key], F.row_number(), F.lit(1), name).drop("_v", "_b", "_total")
 
 
 def running_count(
@@ -140,14 +140,7 @@ def running_count(
     Also adds ``_total``, the sum of the group.
     """
     rows = value_buckets(df, value)
-    placed = _with_offsets(rows, within, "_b", F.col(weight))
-    inside = (
-        W.partitionBy(*within, "_b").orderBy(value)
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
-    return placed.withColumn(
-        name, (F.sum(weight).over(inside) + F.col("_before")).cast("long")
-    ).drop("_b", "_before")
+    return _in_buckets(rows, within, "_b", [value], F.sum(weight), F.col(weight), name).drop("_b")
 
 
 def hash_cut(df: DataFrame, key: str, seed: object, count: Column) -> Column:

@@ -115,6 +115,10 @@ def shard_equal(
     return ranked.withColumn(name, shard.cast("int")).drop("_r")
 
 
+# Every epoch has buckets of its own: 16**3 of them.
+_EPOCH_DIGITS = 3
+
+
 def _epochs(df: DataFrame, epochs: int) -> DataFrame:
     return df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
 
@@ -128,7 +132,7 @@ def batch_assign_all(
         keyed = _epochs(df, epochs).withColumn(
             "_k", F.concat_ws(":", F.col("epoch").cast("string"), F.col(key).cast("string"))
         )
-        ranked = hash_rank(keyed, "_k", seed, within=["epoch"], name="_r").drop("_k")
+        ranked = hash_rank(keyed, "_k", seed, within=["epoch"], name="_r", digits=_EPOCH_DIGITS).drop("_k")
     else:
         ranked = _epochs(key_rank(df, key, name="_r"), epochs)
     return ranked.withColumn(

@@ -16,19 +16,35 @@ def counts_by(df: DataFrame, column: str, name: str = "n") -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias(name)).orderBy(F.desc(name), column)
 
 
+def counts_by_text(df: DataFrame, column: str, name: str = "n") -> DataFrame:
+    """``counts_by`` for long texts: grouped by digest and length, one text carried along."""
+    same = df.groupBy(F.md5(column).alias("_d"), F.octet_length(column).alias("_l"))
+    counts = same.agg(F.any_value(column).alias(column), F.count("*").alias(name))
+    return counts.drop("_d", "_l").orderBy(F.desc(name), column)
+
+
 def corpus_stats(df: DataFrame, label: str, words: str) -> DataFrame:
-    """One row: documents, documents per class as map, words, distinct words, mean length."""
-    sized = df.select(label, F.size(words).cast("long").alias("_n"))
-    per_class = sized.groupBy(label).agg(F.count("*").alias("docs"), F.sum("_n").alias("words"))
-    distinct = (
-        term_counts(df, words).select("term").distinct().agg(F.count("*").alias("v")).scalar()
+    """One row: documents, documents per class as map, words, distinct words, mean length.
+
+    Words are cut once: a row gives an entry for itself and one per distinct word.
+    """
+    own = F.struct(F.col(label).alias("l"), F.lit(None).cast("string").alias("w"), F.size(words).cast("long").alias("n"))
+    none = F.lit(None).cast(df.schema[label].dataType)
+    each = F.transform(
+        F.array_distinct(words), lambda w: F.struct(none.alias("l"), w.alias("w"), F.lit(None).cast("long").alias("n"))
+    )
+    entries = df.select(F.inline_outer(F.concat(F.array(own), each)))
+    seen = written(
+        entries.groupBy("l", "w").agg(F.count("n").alias("docs"), F.sum("n").alias("words")), "corpus-counts"
     )
-    return per_class.agg(
+    classes = seen.filter("w is null")
+    vocabulary = seen.filter("w is not null").agg(F.count("*").alias("v")).scalar()
+    return classes.agg(
         F.sum("docs").alias("documents"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(label, "docs")))).alias("per_class"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("l"), "docs")))).alias("per_class"),
         F.sum("words").alias("words"),
         (F.sum("words") / F.sum("docs")).alias("mean_words"),
-    ).withColumn("vocabulary", distinct)
+    ).withColumn("vocabulary", vocabulary)
 
 
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
@@ -88,19 +104,20 @@ def term_cloud(df: DataFrame, tokens: str, size: int = 200) -> DataFrame:
     )
 
 
-def group_quantiles(
-    df: DataFrame, group: str, value: str, shares: tuple[float, ...] = (0.25, 0.5, 0.75)
-) -> DataFrame:
-    """``(group, q, value)``: exact, linearly interpolated quantiles per group.
+def value_ranks(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Written ``(group, _x, _n, _upto, _total)``: distinct values, their rows, rows up to them.
 
     Equal values are counted together first; the distinct ones are ranked over value
-    ranges, so a group of any size is spread over many tasks.
+    ranges, so a group of any size is spread over many tasks. Reads the input once.
     """
     filled = df.filter(F.col(value).isNotNull())
-    values = filled.groupBy(group, F.col(value).cast("double").alias("_x")).agg(
-        F.count("*").alias("_n")
+    values = written(
+        filled.groupBy(group, F.col(value).cast("double").alias("_x")).agg(F.count("*").alias("_n")), "values"
     )
-    ranked = running_count(values, "_x", "_n", [group], "_upto")
+    return written(running_count(values, "_x", "_n", [group], "_upto"), "value-ranks")
+
+
+def _quantiles(ranked: DataFrame, group: str, shares: tuple[float, ...]) -> DataFrame:
     first = F.col("_upto") - F.col("_n")
     positions = F.array(
         *[
@@ -126,28 +143,35 @@ def group_quantiles(
     return hits.groupBy(group, "q").agg((low + (high - low) * part).alias("value"))
 
 
+def group_quantiles(
+    df: DataFrame, group: str, value: str, shares: tuple[float, ...] = (0.25, 0.5, 0.75)
+) -> DataFrame:
+    """``(group, q, value)``: exact, linearly interpolated quantiles per group."""
+    return _quantiles(value_ranks(df, group, value), group, shares)
+
+
 def box_plot(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Quartiles, extremes, whiskers within 1.5 IQR and the number of outliers per group."""
-    pivoted = group_quantiles(df, group, value).groupBy(group).agg(
-        F.max(F.when(F.col("q") == 0.25, F.col("value"))).alias("q1"),
-        F.max(F.when(F.col("q") == 0.5, F.col("value"))).alias("median"),
-        F.max(F.when(F.col("q") == 0.75, F.col("value"))).alias("q3"),
+    """Quartiles, extremes, whiskers within 1.5 IQR and the number of outliers per group.
+
+    Everything is read from one table of ranked values.
+    """
+    ranked = value_ranks(df, group, value)
+    quartiles = _quantiles(ranked, group, (0.25, 0.5, 0.75)).groupBy(group).agg(
+        *[F.max(F.when(F.col("q") == q, F.col("value"))).alias(name) for q, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
     )
-    rows = df.filter(F.col(value).isNotNull()).select(group, value)
-    sizes = rows.groupBy(group).agg(F.count("*").alias("n"))
-    quartiles = written(pivoted.join(sizes, group), "quartiles")
     spread = F.col("q3") - F.col("q1")
-    inside = F.col(value).between(
-        F.col("q1") - 1.5 * spread, F.col("q3") + 1.5 * spread
-    )
-    return lookup(rows, quartiles, group, value, "n").groupBy(
-        group, "q1", "median", "q3", "n"
-    ).agg(
-        F.min(value).alias("lowest"),
-        F.max(value).alias("highest"),
-        F.min(F.when(inside, F.col(value))).alias("whisker_low"),
-        F.max(F.when(inside, F.col(value))).alias("whisker_high"),
-        F.count(F.when(~inside, 1)).alias("outliers"),
+    inside = F.col("_x").between(F.col("q1") - 1.5 * spread, F.col("q3") + 1.5 * spread)
+    uses = ranked.groupBy(group).agg(F.count("*").alias("_uses"))
+    table = written(quartiles.join(uses, group), "quartiles")
+    kind = df.schema[value].dataType
+    return (
+        lookup(ranked, table, group, "_x", "_uses").groupBy(group, "q1", "median", "q3")
+        .agg(
+            F.max("_total").alias("n"), F.min("_x").alias("lowest"), F.max("_x").alias("highest"),
+            F.min(F.when(inside, F.col("_x"))).alias("whisker_low"), F.max(F.when(inside, F.col("_x"))).alias("whisker_high"),
+            F.coalesce(F.sum(F.when(~inside, F.col("_n"))), F.lit(0)).alias("outliers"),
+        )
+        .withColumns({c: F.col(c).cast(kind) for c in ("lowest", "highest", "whisker_low", "whisker_high")})
     )
 
 

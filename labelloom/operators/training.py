@@ -215,27 +215,30 @@ def score_texts(features: PipelineModel, model: Model, texts: DataFrame,
     return named.withColumnRenamed("predicted", f"predicted_{label}")
 
 
-def probabilities(predictions: DataFrame) -> DataFrame:
-    """Class probabilities as an array column."""
-    return predictions.withColumn("probability", vector_to_array("probability"))
+def steps_metrics(models: Sequence[Model], rows: DataFrame, split: str = "split") -> DataFrame:
+    """``(step, series, loss, accuracy)`` of models after steps 1, 2, ..., on the parts
+    ``train`` and, for the rest, ``dev``.
 
-
-def training_history(model, series: str = "train") -> list[tuple[int, str, float]]:
-    """``(step, series, loss)`` of an iterative fit, from the model's own summary."""
-    return [
-        (step, series, float(loss)) for step, loss in enumerate(model.summary.objectiveHistory)
-    ]
-
-
-def step_metrics(model, rows: DataFrame, step: int, split: str = "split") -> DataFrame:
-    """``(step, series, loss, accuracy)`` of the parts ``train`` and, for the rest, ``dev``."""
-    scored = probabilities(model.transform(rows))
-    own = F.element_at("probability", F.col("label").cast("int") + 1)
-    series = F.when(F.col(split) == "train", "train").otherwise("dev")
-    return scored.groupBy(series.alias("series")).agg(
-        F.avg(-F.log(F.greatest(own, F.lit(1e-15)))).alias("loss"),
-        F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"),
-    ).select(F.lit(step).cast("long").alias("step"), "series", "loss", "accuracy")
+    All models score a row in the same scan.
+    """
+    scored = rows.select(F.col(split).alias("_split"), "features", "label")
+    sums = []
+    for i, model in enumerate(models):
+        named = model.copy().setRawPredictionCol(f"_raw{i}").setProbabilityCol(f"_prob{i}").setPredictionCol(f"_pred{i}")
+        scored = named.transform(scored).drop(f"_raw{i}")
+        own = F.element_at(vector_to_array(f"_prob{i}"), F.col("label").cast("int") + 1)
+        sums += [
+            F.avg(-F.log(F.greatest(own, F.lit(1e-15)))).alias(f"loss{i}"),
+            F.avg((F.col(f"_pred{i}") == F.col("label")).cast("double")).alias(f"accuracy{i}"),
+        ]
+    series = F.when(F.col("_split") == "train", "train").otherwise("dev")
+    steps = F.array(*[
+        F.struct(F.lit(i + 1).cast("long").alias("step"), F.col(f"loss{i}").alias("loss"), F.col(f"accuracy{i}").alias("accuracy"))
+        for i in range(len(models))
+    ])
+    return scored.groupBy(series.alias("series")).agg(*sums).select("series", F.inline(steps)).select(
+        "step", "series", "loss", "accuracy"
+    )
 
 
 def coefficients(model, terms: DataFrame, labels: Sequence[str]) -> DataFrame:

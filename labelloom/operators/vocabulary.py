@@ -20,23 +20,33 @@ def run_starts(values: str, field: str = "") -> Column:
     )
 
 
-def term_counts(df: DataFrame, tokens: str, *keep: str, term: str = "term") -> DataFrame:
-    """``(*keep, term, tf)``: one row per distinct token of each row.
+def _runs(df: DataFrame, tokens: str, keep: tuple[str, ...]) -> DataFrame:
+    return df.select(*keep, F.sort_array(tokens).alias("_s")).withColumn("_at", run_starts("_s"))
+
+
+def _run_entries(term: str) -> str:
+    return (
+        "transform(_at, (p, j) -> struct("
+        f"_s[p] as {term}, cast(coalesce(get(_at, j + 1), size(_s)) - p as long) as tf))"
+    )
+
+
+def document_terms(df: DataFrame, tokens: str, *keep: str) -> DataFrame:
+    """``(*keep, terms)``: a row's distinct tokens in order, as ``(term, tf)``; to be written.
 
     Counted inside the row by sorting its tokens and measuring the runs, so counting
     needs no shuffle.
     """
-    runs = (
-        df.select(*keep, F.sort_array(tokens).alias("_s"))
-        .withColumn("_at", run_starts("_s"))
-    )
-    return runs.select(
-        *keep,
-        F.expr(
-            "inline(transform(_at, (p, j) -> struct("
-            f"_s[p] as {term}, cast(coalesce(get(_at, j + 1), size(_s)) - p as long) as tf)))"
-        ),
-    )
+    return _runs(df, tokens, keep).select(*keep, F.expr(_run_entries("term")).alias("terms"))
+
+
+def term_counts(df: DataFrame, tokens: str, *keep: str, term: str = "term") -> DataFrame:
+    """``(*keep, term, tf)``: one row per distinct token of each row.
+
+    The runs unfold where they are measured: a filter that Spark infers for the unfolding
+    would otherwise measure them a second time, token by token.
+    """
+    return _runs(df, tokens, keep).select(*keep, F.expr(f"inline({_run_entries(term)})"))
 
 
 def distinct_words(df: DataFrame, tokens: str, seed: object = "word") -> DataFrame:

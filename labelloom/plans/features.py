@@ -124,20 +124,21 @@ def _sql_tfidf(counts: str, keep: str, min_df: int, sublinear: bool) -> str:
     f"({_sql_tfidf(_COUNTS, 'doc_id', 1, False)})",
 )
 def vec_tfidf_l2(spark, sf):
-    counts = word_counts(spark, sf)
+    docs = written(vocabulary.document_terms(t.words(spark, sf), "tokens", "doc_id"), "document-terms")
     total = statistics.scalar_count(t.table(spark, sf, "documents"))
-    return weights.tfidf(counts, "doc_id", total).select(
-        "doc_id", "term", t.rounded("weight").alias("weight")
+    return weights.tfidf(docs, "doc_id", total).select("doc_id", F.inline("terms")).withColumn(
+        "weight", t.rounded("weight")
     )
 
 
 def gram_weights(spark, sf, *keep):
     """Sublinear TF-IDF over words and word pairs in at least five documents."""
-    counts = written(
-        vocabulary.term_counts(t.grams(spark, sf, *keep), "tokens", "doc_id", *keep), "counts"
+    docs = written(
+        vocabulary.document_terms(t.grams(spark, sf, *keep), "tokens", "doc_id", *keep), "document-terms"
     )
     total = statistics.scalar_count(t.table(spark, sf, "documents"))
-    return weights.tfidf(counts, "doc_id", total, min_df=5, sublinear=True)
+    rows = weights.tfidf(docs, "doc_id", total, min_df=5, sublinear=True)
+    return rows.select("doc_id", *keep, F.inline("terms"))
 
 
 _GRAM_COUNTS = t.sql_counts(t.SQL_GRAMS, "lang")

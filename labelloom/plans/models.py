@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from labelloom.operators import (
     bayes, evaluation, shards, splits, statistics, training, vectors, vocabulary, weights,
 )
 from labelloom.operators.keyed import hash_threshold
+from labelloom.functions import text as T
 from labelloom.functions.arrays import argmax
 from labelloom.functions.text import TOKENIZER_STOP_WORDS
 from labelloom.plans import tables as t
@@ -23,8 +23,6 @@ from labelloom.storage import new_path, written
 
 # Fixed value: shards of the sharded training.
 SHARDS = 4
-# Steps that monitoring scores.
-MONITORED = 5
 
 
 def split_tweets(spark, sf):
@@ -180,24 +178,18 @@ def ml_random_forest(spark, sf):
 
 
 def tfidf_features(spark, sf):
-    """``(terms, rows)``: numbered terms, and documents with unit-length TF-IDF vectors.
+    """``(labels, terms, rows)``: numbered terms, and documents with unit-length TF-IDF vectors.
 
     Sublinear weights of words and word pairs that stand in five documents or more.
     """
-    docs = t.grams(spark, sf, "lang")
-    counts = written(vocabulary.term_counts(docs, "tokens", "doc_id"), "gram-counts")
+    docs = written(vocabulary.document_terms(t.grams(spark, sf, "lang"), "tokens", "doc_id", "lang"), "document-terms")
     total = statistics.scalar_count(t.table(spark, sf, "documents"))
-    terms = vocabulary.numbered_terms(weights.idf_table(counts, total, 5))
-    fitted = terms.drop("term_id")
-    scored = weights.tfidf(counts, "doc_id", total, sublinear=True, fitted=fitted)
-    size = terms.count()
-    placed = vectors.sparse_vectors(scored, terms, "doc_id", size)
-    empty = F.udf(lambda _: Vectors.sparse(size, [], []), VectorUDT())
-    rows = t.table(spark, sf, "documents").select("doc_id", "lang").join(placed, "doc_id", "left")
-    index = StringIndexer(inputCol="lang", outputCol="label").fit(rows)
-    filled = F.coalesce("features", empty("doc_id"))
-    ready = index.transform(rows.withColumn("features", filled)).withColumnRenamed("lang", "sentiment")
-    return list(index.labels), terms, written(ready, "tfidf-vectors")
+    terms = vocabulary.numbered_terms(weights.idf_table(docs.select(F.inline("terms")), total, 5))
+    scored = weights.tfidf(docs, "doc_id", total, sublinear=True, fitted=terms, carry=["term_id"])
+    rows = scored.select("doc_id", "lang", vectors.sparse_vectors("terms", terms.count()).alias("features"))
+    placed = vectors.written_vectors(rows, "features", "tfidf-vectors")
+    index = StringIndexer(inputCol="lang", outputCol="label").fit(placed)
+    return list(index.labels), terms, index.transform(placed).withColumnRenamed("lang", "sentiment")
 
 
 _HOLDOUT = (
@@ -207,27 +199,93 @@ _HOLDOUT = (
 )
 
 
+class SvcRun:
+    """A linear SVM fitted on two thirds of the rows, and all that is reported of it.
+
+    Every report reads the one written table of predictions.
+    """
+
+    def __init__(self, spark, sf):
+        self.labels, self.terms, self.rows = tfidf_features(spark, sf)
+        train, test = _parts(splits.split_exact_two(self.rows, "doc_id", 0.33))
+        model = training.fit_kept(training.linear_svc(), train.select("features", "label"))
+        self.predictions = written(
+            training.label_names(model.transform(test), self.labels)
+            .select("doc_id", "sentiment", "label", "prediction", "predicted"),
+            "svc-predictions",
+        )
+        self.cells = evaluation.confusion(self.predictions, "sentiment", "predicted")
+        self.texts = t.table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
+
+    def pairs(self, minimum=6):
+        """Pairs of classes that are taken for one another at least so often."""
+        return evaluation.confused_pairs(self.cells, minimum)
+
+    def errors(self, minimum=6):
+        """Wrongly predicted texts of such pairs."""
+        wrong = evaluation.misclassified(self.predictions, self.texts, "doc_id", "sentiment", "predicted")
+        pairs = self.pairs(minimum).select(F.col("actual").alias("sentiment"), "predicted", "n")
+        return wrong.join(F.broadcast(pairs), ["sentiment", "predicted"])  # classes x classes at most
+
+    def report(self):
+        return evaluation.class_report(self.cells)
+
+    def refitted(self):
+        """The model fitted again, on all rows."""
+        return training.fit_kept(training.linear_svc(), self.rows.select("features", "label"))
+
+    def score_texts(self, model, texts, key="doc_id", content="content"):
+        """Texts with the label name that a model gives them, through the fitted terms."""
+        spark = texts.sparkSession
+        kept = T.unigrams_bigrams(F.col("_t"))
+        tokens = texts.select(key, T.long_words(T.word_tokens(F.col(content))).alias("_t")).select(key, kept.alias("tokens"))
+        docs = written(vocabulary.document_terms(tokens, "tokens", key), "document-terms")
+        # The fitted table has the weights; the number of rows is not asked for.
+        scored = weights.tfidf(docs, key, F.lit(0), sublinear=True, fitted=self.terms, carry=["term_id"])
+        rows = scored.select(key, vectors.sparse_vectors("terms", self.terms.count()).alias("features"))
+        named = training.label_names(model.transform(vectors.written_vectors(rows, "features", "text-vectors")), self.labels)
+        return texts.join(named.select(key, F.col("predicted").alias("predicted_sentiment")), key)
+
+
 @query(
     "ml_linear_svc",
-    f"SELECT actual, CAST(sum(n) AS BIGINT) AS n, any_value(majority) AS majority, any_value(beats_majority) AS beats_majority "
-    f"FROM (SELECT sentiment AS actual, support AS n, majority, beats_majority FROM "
-    f"({_sql_verdict(f'SELECT * FROM ({_HOLDOUT}) WHERE test')})) GROUP BY actual",
+    "SELECT actual, n, n AS reported, n AS shown, majority, beats_majority, "
+    "(SELECT count(*) FROM documents) AS refitted_on FROM (SELECT sentiment AS actual, "
+    "support AS n, majority, beats_majority FROM "
+    f"({_sql_verdict(f'SELECT * FROM ({_HOLDOUT}) WHERE test')}))",
 )
 def ml_linear_svc(spark, sf):
-    """A third held out, fitted on the rest, confusion of the predictions by actual class."""
-    labels, _, rows = tfidf_features(spark, sf)
-    parts = splits.split_exact_two(rows, "doc_id", 0.33)
-    train, test = _parts(parts)
-    model = training.fit_kept(training.linear_svc(), train.select("features", "label"))
-    scored = written(
-        training.label_names(model.transform(test), labels)
-        .select("doc_id", "sentiment", "label", "prediction", "predicted"),
-        "svc-predictions",
+    """A third held out, fitted on the rest: rows of each class in the confusion cells, in the
+    report, and among right predictions and listed errors; rows of the refit."""
+    run = SvcRun(spark, sf)
+    supports = run.cells.groupBy("actual").agg(F.sum("n").alias("n"))
+    reported = run.report().select(F.col("class").alias("actual"), F.col("support").alias("reported"))
+    right = run.cells.filter("actual = predicted").select("actual", F.col("n").alias("right"))
+    wrong = run.errors(1).groupBy(F.col("sentiment").alias("actual")).agg(F.count("content").alias("wrong"))
+    verdict = _verdict(run.predictions).select(F.col("sentiment").alias("actual"), "majority", "beats_majority")
+    model = run.refitted()
+    known = model.transform(run.rows).filter("prediction is not null").count()
+    return (
+        supports.join(reported, "actual").join(right, "actual").join(wrong, "actual", "left").join(verdict, "actual")
+        .select(
+            "actual", "n", "reported", (F.col("right") + F.coalesce("wrong", F.lit(0))).alias("shown"),
+            "majority", "beats_majority", F.lit(known).cast("long").alias("refitted_on"),
+        )
     )
-    cells = evaluation.confusion(scored, "sentiment", "predicted")
-    supports = cells.groupBy("actual").agg(F.sum("n").alias("n"))
-    verdict = _verdict(scored).select(F.col("sentiment").alias("actual"), "majority", "beats_majority")
-    return supports.join(verdict, "actual")
+
+
+@query("ml_svc_report")
+def ml_svc_report(spark, sf):
+    """Precision, recall and F1 of every class, and their averages."""
+    report = SvcRun(spark, sf).report()
+    return report.select("class", *[t.rounded(c).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@query("ml_svc_sentences")
+def ml_svc_sentences(spark, sf):
+    """Label names for literal sentences, by the model fitted again on all documents."""
+    run = SvcRun(spark, sf)
+    return run.score_texts(run.refitted(), readers.inline_rows(spark, SENTENCES))
 
 
 _NB_COUNTS = t.sql_counts(t.SQL_WORDS, "lang")
@@ -465,12 +523,15 @@ def ml_shard_average(spark, sf):
 def ml_monitor(spark, sf):
     """Loss and accuracy of both parts after each step, appended and read back.
 
-    A fit of k iterations is the model after k steps, so each step is scored with its own.
+    A fit of k iterations is the model after k steps, so each step of the whole fit has a
+    model of its own; all of them score the rows in one scan.
     """
     _, rows = count_features(spark, sf)
     path = new_path(spark, "metrics")
     with training.kept(rows.select("split", "features", "label")) as cached:
-        for step in range(1, MONITORED + 1):
-            model = training.logistic_regression(maxIter=step).fit(cached.filter("split = 'train'"))
-            writers.append_metrics(training.step_metrics(model, cached, step), path, "run-1")
+        train = cached.filter("split = 'train'")
+        models = [
+            training.logistic_regression(maxIter=step).fit(train) for step in range(1, training.LR_ITERATIONS + 1)
+        ]
+        writers.append_metrics(training.steps_metrics(models, cached), path, "run-1")
     return writers.read_metrics(spark, path)

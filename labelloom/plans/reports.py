@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelloom.functions import arrays as A
 from labelloom.operators import evaluation
 from labelloom.plans import tables as t
 from labelloom.plans.registry import query
@@ -116,16 +115,3 @@ def agg_l2_penalty(spark, sf):
         F.explode(F.col("embedding").cast("array<double>")).alias("w")
     )
     return evaluation.l2_penalty(weights, "w", 0.01).select(t.rounded("penalty").alias("penalty"))
-
-
-@query(
-    "top_confident",
-    "SELECT vec_id, label, round(scores[1], 6) AS confidence FROM "
-    f"({_SCORE_ROWS}) WHERE list_position(scores, list_max(scores)) = 1 "
-    "ORDER BY scores[1] DESC, vec_id LIMIT 10",
-)
-def top_confident(spark, sf):
-    """The ten rows most confidently predicted as class 0."""
-    scored = _scores(spark, sf).withColumn("prediction", A.argmax(F.col("scores")))
-    top = evaluation.most_confident(scored, "vec_id", 0, 10, "scores")
-    return top.select("vec_id", "label", t.rounded("confidence").alias("confidence"))

@@ -17,7 +17,7 @@ def agg_label_counts(spark, sf):
 
 @query("agg_duplicate_text", "SELECT text, count(*) AS n FROM documents GROUP BY text")
 def agg_duplicate_text(spark, sf):
-    return statistics.counts_by(t.table(spark, sf, "documents"), "text")
+    return statistics.counts_by_text(t.table(spark, sf, "documents"), "text")
 
 
 @query(

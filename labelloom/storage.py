@@ -9,11 +9,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _DIR = "spark.checkpoint.dir"
 _own_dirs: dict[str, str] = {}
+_run: ContextVar[str | None] = ContextVar("run", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,9 +33,30 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[context.applicationId]
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nobody has used yet."""
-    return f"{shared_dir(spark)}/labelloom/{name}-{uuid.uuid4().hex}"
+def new_path(spark: SparkSession, name: str, lasting: bool = False) -> str:
+    """A path below the shared folder that nobody has used yet, in the open run's folder if any.
+
+    ``lasting`` files stay when a run's folder is dropped.
+    """
+    folder = None if lasting else _run.get()
+    return f"{folder or shared_dir(spark) + '/labelloom'}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def run_folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder of its own for all tables that are written inside the block."""
+    folder = new_path(spark, name)
+    token = _run.set(folder)
+    try:
+        yield folder
+    finally:
+        _run.reset(token)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a run's folder; tables in it must not be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

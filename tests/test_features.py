@@ -8,7 +8,7 @@ from pyspark.ml.feature import IDF, CountVectorizerModel
 from pyspark.sql import functions as F
 
 from labelloom.functions import arrays as A
-from labelloom.operators import bayes, labels, vectors, vocabulary, weights
+from labelloom.operators import bayes, labels, lookup, vectors, vocabulary, weights
 from labelloom.operators.statistics import scalar_count
 
 TEXTS = ["b a a c", "", "c c c b", "d", "a b"]
@@ -42,11 +42,10 @@ def test_frequent_terms_respect_both_limits(docs):
 
 
 def test_tfidf_against_brute_force(docs):
-    counts = vocabulary.term_counts(docs, "tokens", "doc_id")
-    got = {
-        (r["doc_id"], r["term"]): r["weight"]
-        for r in weights.tfidf(counts, "doc_id", scalar_count(docs), 2, sublinear=True).collect()
-    }
+    rows = vocabulary.document_terms(docs, "tokens", "doc_id")
+    scored = weights.tfidf(rows, "doc_id", scalar_count(docs), 2, sublinear=True).collect()
+    assert len(scored) == len(TEXTS)  # documents without a known term as well
+    got = {(r["doc_id"], e["term"]): e["weight"] for r in scored for e in r["terms"]}
     n, df = len(TEXTS), Counter(w for x in TEXTS for w in set(x.split()))
     want = {}
     for i, x in enumerate(TEXTS):
@@ -163,7 +162,7 @@ def test_unknown_words_get_stable_bounded_vectors(spark):
 
 @pytest.mark.parametrize("limit", [0, 100])
 def test_pooled_vectors_keep_documents_without_words(spark, monkeypatch, limit):
-    monkeypatch.setattr(vectors, "BROADCAST_VECTORS", limit)
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", limit)
     enc = spark.createDataFrame([(1, [1, 2, 1]), (2, []), (3, [9])], "d long, ids array<int>")
     table = spark.createDataFrame([(1, [1.0, 0.0]), (2, [4.0, 3.0])], "word_id int, vector array<float>")
     out = {r["d"]: r["vector"] for r in vectors.pooled(enc, "d", table).collect()}
@@ -224,5 +223,5 @@ def test_lookup_joins_int_with_long_keys(spark):
 
     table = spark.range(3000).select(F.col("id").alias("k"), F.lit(1).alias("n"), (F.col("id") * 2).alias("v"))
     facts = spark.range(3000).select(F.col("id").cast("int").alias("k"), F.col("id").alias("s"))
-    found = lookup(facts, table, "k", "s", "n", broadcast_rows=10)
+    found = lookup(facts, table, "k", "s", "n", broadcast_bytes=10)
     assert found.filter("v = 2 * k").count() == 3000

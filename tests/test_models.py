@@ -124,10 +124,18 @@ def test_coefficients_name_the_typical_words(spark, parts, features):
         assert best in words
 
 
-def test_history_falls(parts):
-    model = training.fit_kept(training.logistic_regression(), parts[0])
-    losses = [loss for _, _, loss in training.training_history(model)]
-    assert losses[-1] < losses[0]
+def test_steps_are_scored_in_one_scan(parts):
+    train, test = parts
+    rows = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    models = [training.logistic_regression(maxIter=k).fit(train) for k in (1, 2, 6)]
+    out = training.steps_metrics(models, rows)
+    got = {(r["step"], r["series"]): r for r in out.collect()}
+    assert set(got) == {(k, s) for k in (1, 2, 3) for s in ("train", "dev")}
+    losses = [got[k, "train"]["loss"] for k in (1, 2, 3)]
+    assert losses[0] > losses[1] > losses[2]
+    for k, model in enumerate(models, 1):
+        hit = evaluation.accuracy(model.transform(test), "label", "prediction").first()[0]
+        assert got[k, "dev"]["accuracy"] == pytest.approx(hit)
 
 
 def test_network_over_vectors(spark):
