@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from labelloom.functions.text import TOKENIZER_STOP_WORDS, TWEET_NOISE
+from labelloom.storage import new_path
 
 # Sizes and hyper-parameters of the text models.
 VOCABULARY = 10_000
@@ -244,16 +245,27 @@ def steps_metrics(models: Sequence[Model], rows: DataFrame, split: str = "split"
 def coefficients(model, terms: DataFrame, labels: Sequence[str]) -> DataFrame:
     """``(label, term, weight)`` of a linear model over ``(term, term_id)``.
 
-    The model itself lives on the driver, so its weights are bounded by features x classes.
+    The weights of one class against the rest are read from the files of the saved model,
+    other models hand over one array per class: none goes through the driver one by one.
     """
     spark = terms.sparkSession
     if isinstance(model, Model) and hasattr(model, "models"):
-        rows = [m.coefficients.toArray() for m in model.models]
+        path = new_path(spark, "linear-model")
+        model.write().save(path)
+        parts = [
+            spark.read.parquet(f"{path}/model_{k}/data").select(
+                F.lit(labels[k]).alias("label"), vector_to_array("coefficients").alias("w")
+            )
+            for k in range(len(model.models))
+        ]
+        rows = parts[0]
+        for more in parts[1:]:
+            rows = rows.union(more)
     else:
         matrix = model.coefficientMatrix.toArray()
-        rows = [-matrix[0], matrix[0]] if len(matrix) == 1 else list(matrix)
-    entries = [
-        (labels[k], i, float(w)) for k, row in enumerate(rows) for i, w in enumerate(row)
-    ]
-    weights = spark.createDataFrame(entries, "label string, term_id int, weight double")
+        arrays = [-matrix[0], matrix[0]] if len(matrix) == 1 else list(matrix)
+        rows = spark.createDataFrame(
+            [(labels[k], a.tolist()) for k, a in enumerate(arrays)], "label string, w array<double>"
+        )
+    weights = rows.select("label", F.posexplode("w").alias("term_id", "weight"))
     return weights.join(terms.select("term", "term_id"), "term_id")

@@ -95,6 +95,15 @@ def vec_hashing_tf(spark, sf):
     )
 
 
+@query("vec_hashing_buckets")
+def vec_hashing_buckets(spark, sf):
+    """Hashed counts as rows: every bucket of a document with its count."""
+    hashed = HashingTF(inputCol="tokens", outputCol="v", numFeatures=10_000)
+    vector = F.unwrap_udt("v")
+    pairs = F.arrays_zip(vector["indices"].alias("bucket"), vector["values"].alias("tf"))
+    return hashed.transform(t.words(spark, sf)).select("doc_id", F.inline(pairs)).toDF("doc_id", "bucket", "tf")
+
+
 @query(
     "vec_idf_spark",
     f"WITH c AS ({_COUNTS}), d AS (SELECT term, count(*) AS df FROM c GROUP BY term), "

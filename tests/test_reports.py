@@ -64,6 +64,45 @@ def test_written_vectors_are_ml_vectors(spark):
     assert got == {1: SparseVector(6, {1: 2.0, 4: 0.5}), 2: SparseVector(6, {})}
 
 
+def murmur3(data: bytes, seed: int = 42) -> int:
+    """MurmurHash3, 32 bits, as published; a signed number."""
+    mask, h = 0xFFFFFFFF, seed
+
+    def mix(k):
+        k = k * 0xCC9E2D51 & mask
+        return ((k << 15 | k >> 17) & mask) * 0x1B873593 & mask
+
+    whole = len(data) // 4 * 4
+    for at in range(0, whole, 4):
+        h ^= mix(int.from_bytes(data[at : at + 4], "little"))
+        h = ((h << 13 | h >> 19) & mask) * 5 + 0xE6546B64 & mask
+    if len(data) > whole:
+        h ^= mix(int.from_bytes(data[whole:], "little"))
+    h ^= len(data)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        h = (h ^ h >> shift) * factor & mask
+    return h - 2**32 if h >= 2**31 else h
+
+
+def test_hashed_counts_and_idf(spark, small):
+    from labelloom.operators import training
+    from labelloom.plans import features
+    from labelloom.plans import tables as t
+
+    words = {r["doc_id"]: r["tokens"] for r in t.words(spark, small).collect()}
+    want = Counter((d, murmur3(w.encode()) % 10_000) for d, tokens in words.items() for w in tokens)
+    got = {(r["doc_id"], r["bucket"]): r["tf"] for r in features.vec_hashing_buckets(spark, small).collect()}
+    assert got == dict(want)
+    rows = models.split_tweets(spark, small)
+    fitted = training.fit_features(training.hash_idf_stages(), rows)
+    idf = fitted.stages[3].idf.toArray()
+    kept = fitted.transform(rows).filter("split = 'train'").select("filtered").collect()
+    df = Counter(b for r in kept for b in {murmur3(w.encode()) % 10_000 for w in r["filtered"]})
+    for b in range(10_000):
+        expected = math.log((len(kept) + 1) / (df[b] + 1)) if df[b] >= training.MIN_DF else 0.0
+        assert idf[b] == pytest.approx(expected)
+
+
 def exchanges(df):
     plan = df._jdf.queryExecution().executedPlan().toString()
     return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line or "Exchange RoundRobin" in line]
