@@ -77,7 +77,7 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
-    target = new_path(spark, "package") + ".zip"
+    target = new_path(spark, "package", lasting=True) + ".zip"
     root = Path(labelloom.__file__).parent
     packed = io.BytesIO()
     with zipfile.ZipFile(packed, "w") as out:

@@ -6,7 +6,11 @@ more pass up to the target, and the block that best fills the gap. A tree over t
 quotas: at each node the left half's share of every source is one draw from the
 multivariate hypergeometric distribution, so quotas add up exactly at every level. A shard
 then takes its own stretch of each source's permuted blocks, which no other shard shares,
-and shuffles its rows by hash.
+and shuffles its rows by hash. The driver holds one number per source and shard.
+
+Defined cases: a null source is a source of its own and comes last, a null key a key of its
+own; rows that repeat a key stay together; rows of size 0 ride with their block; a source
+without words is not taken; an empty table gives an empty result; other columns stay.
 """
 
 from __future__ import annotations
@@ -20,10 +24,16 @@ from pyspark.sql import functions as F
 
 from labelloom.llm.common import words
 from labelloom.plans.registry import query
+from labelloom.storage import written
 
 # A block is 1/4096 of a source: a source's taken size is off by half a block at most, and
 # the block table has at most this many rows per source.
 BLOCK_DIGITS = 3
+# More blocks than the hypergeometric generator takes.
+_LARGE = 999_000_000
+# The table of drawn blocks is broadcast up to this many bytes.
+TABLE_BYTES = 16_000_000
+_ROW_BYTES = 120
 # A source is repeated this often at most.
 MAX_REPEATS = 3
 
@@ -82,7 +92,10 @@ def split_quotas(quotas: list[int], shards: int, seed: int) -> list[list[int]]:
         # Source by source: each takes a hypergeometric share of what is left of the draw.
         for s, n in enumerate(have):
             rest -= int(n)
-            left[s] = rng.hypergeometric(int(n), rest, room) if room and n else 0
+            if room and n:
+                # Beyond the library's range a draw of so few is binomial.
+                draw = rng.binomial(int(n), room / (rest + int(n))) if rest >= _LARGE else rng.hypergeometric(int(n), rest, room)
+                left[s] = min(max(int(draw), room - rest), room)
             room -= int(left[s])
         descend(left, lo, mid)
         descend(have - left, mid, hi)
@@ -142,7 +155,12 @@ def assign(docs: DataFrame, key: str, shards: int, seed: int = 11) -> DataFrame:
         .groupBy("_source", "_block")
         .agg(F.sort_array(F.collect_list(F.struct(F.col("_pass").alias("pass"), F.col("_shard").alias("shard")))).alias("draws"))
     )
-    table = drawn.select("_source", "_block", "source_size", "target").join(placed, ["_source", "_block"], "left")
+    table = written(
+        drawn.select("_source", "_block", "source_size", "target").join(placed, ["_source", "_block"], "left"), "drawn-blocks"
+    )
+    bytes_ = table.agg(F.sum(F.octet_length("_source") + _ROW_BYTES).alias("b")).first()["b"] or 0
+    if bytes_ <= TABLE_BYTES:  # rows then stay where they are
+        table = F.broadcast(table)
     empty = F.lit([]).cast("array<struct<pass:int,shard:int>>")
     return (
         hashed.join(table, ["_source", "_block"])

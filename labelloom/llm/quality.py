@@ -33,6 +33,8 @@ POSITION_BITS = 20
 # Copies of the table of removed lines, so that a line in a third of all documents is
 # looked up by this many tasks.
 SALTS = 16
+# Lists of removed lines are broadcast up to this size, all together and for one host.
+LIST_BYTES, LIST_LINES = 8_000_000, 1000
 
 
 def _spaced(text: Column) -> Column:
@@ -143,6 +145,23 @@ def _removed_lines(counted: DataFrame) -> DataFrame:
     )
 
 
+def _hits(counted: DataFrame, lines: DataFrame) -> DataFrame:
+    """``(row, line_chars, removed)`` of the rows that hold one of ``lines (host, h)``."""
+    salted = lines.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return (
+        counted.select("row", "host", F.explode("line_entries").alias("e"))
+        .select("row", "host", "e.h", "e.c", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))
+        .join(salted, ["host", "h", "salt"])
+        .groupBy("row")
+        .agg(F.sum("c").alias("line_chars"), F.collect_set("h").alias("removed"))
+    )
+
+
+def _kept() -> Column:
+    left = F.col("word_chars") - F.col("line_chars")
+    return ~F.col("base_failed") & (100 * left >= KEPT_PERCENT * F.col("word_chars"))
+
+
 def verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """Counts, ``line_chars`` (word characters in removed lines), ``kept`` and ``removed`` per row.
 
@@ -157,47 +176,57 @@ def verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
     counted = written(
         document_counts(base).drop("text").withColumn("row", F.monotonically_increasing_id()), "line-hashes"
     )
-    salted = _removed_lines(counted).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hits = (
-        counted.select("row", "host", F.explode("line_entries").alias("e"))
-        .select("row", "host", "e.h", "e.c", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))
-        .join(salted, ["host", "h", "salt"])
-        .groupBy("row")
-        .agg(F.sum("c").alias("line_chars"), F.collect_set("h").alias("removed"))
-    )
-    left = F.col("word_chars") - F.col("line_chars")
     return (
         counted.drop("line_entries", "host")
-        .join(hits, "row", "left")
+        .join(_hits(counted, _removed_lines(counted)), "row", "left")
         .withColumn("line_chars", F.coalesce("line_chars", F.lit(0)).cast("long"))
-        .withColumn(
-            "kept",
-            ~F.col("base_failed") & (100 * left >= KEPT_PERCENT * F.col("word_chars")),
-        )
+        .withColumn("kept", _kept())
         .drop("row")
     )
 
 
+def _without(text: Column, removed: Column) -> Column:
+    """The text without the lines whose hashes are in ``removed``."""
+    lines = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(removed, line_hash(x)))
+    return F.when(F.size(removed) == 0, text).otherwise(F.array_join(lines, "\n"))
+
+
 def apply_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """The kept rows of ``docs``, without the removed lines; all columns stay.
 
-    Only rows that something happens to are looked up, by key and text hash.
+    Rows are written once with their counts. A host's list of lines to remove is short, since
+    each stands in more than ``LINE_PERCENT`` of its documents: the lists are broadcast if
+    their bytes allow it, and every row is settled where it stands. Otherwise only rows that
+    something happens to are looked up, by row number.
     """
-    acts = written(
-        verdicts(docs, key, text, host)
-        .filter(~F.col("kept") | F.col("removed").isNotNull())
-        .select(F.struct("key").alias("_key"), F.col("text_hash").alias("_hash"), F.col("kept").alias("_kept"), F.col("removed").alias("_removed"))
-        .distinct(),
-        "line-acts",
+    base = docs.select(
+        F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_doc"),
+        F.col(text).alias("text"),
+        F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("-")).alias("host"),
+        F.xxhash64(F.col(text)).alias("text_hash"),
     )
-    lines = F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains("_removed", line_hash(x)))
-    return (
-        docs.withColumns({"_key": F.struct(F.col(key).alias("key")), "_hash": F.xxhash64(F.col(text))})
-        .join(acts, ["_key", "_hash"], "left")
-        .filter(F.coalesce("_kept", F.lit(True)))
-        .withColumn(text, F.when(F.col("_removed").isNull(), F.col(text)).otherwise(F.array_join(lines, "\n")))
-        .select(*docs.columns)
+    counted = written(
+        document_counts(base).drop("text").withColumn("row", F.monotonically_increasing_id()), "counted-documents"
     )
+    lines = written(_removed_lines(counted).groupBy("host").agg(F.collect_list("h").alias("_lines")), "removed-lines")
+    size = lines.agg(F.sum(F.size("_lines") * 8 + F.octet_length("host")).alias("b"), F.max(F.size("_lines")).alias("n")).first()
+    none = F.array().cast("array<bigint>")
+    if (size["b"] or 0) <= LIST_BYTES and (size["n"] or 0) <= LIST_LINES:
+        settled = counted.join(F.broadcast(lines), "host", "left").withColumn("_lines", F.coalesce("_lines", none))
+        gone = F.filter("line_entries", lambda e: F.array_contains("_lines", e["h"]))
+        settled = settled.withColumn("_gone", gone).withColumns({
+            "line_chars": F.aggregate("_gone", F.lit(0).cast("bigint"), lambda a, e: a + e["c"]), "removed": F.col("_gone.h"),
+        })
+    else:
+        hits = _hits(counted, lines.select("host", F.explode("_lines").alias("h")))
+        settled = counted.join(hits, "row", "left").withColumns({
+            "line_chars": F.coalesce("line_chars", F.lit(0).cast("long")), "removed": F.coalesce("removed", none),
+        })
+    at = docs.columns.index(text)
+    return settled.filter(_kept()).select(*[
+        (_without(F.col(f"_doc.c{i}"), F.col("removed")) if i == at else F.col(f"_doc.c{i}")).alias(c)
+        for i, c in enumerate(docs.columns)
+    ])
 
 
 _WORDS = r"list_filter(regexp_split_to_array(replace(coalesce(text, ''), chr(11), ' '), '[ \t\n\f\r]+'), lambda w: w <> '')"

@@ -13,7 +13,8 @@ so a star per value holds every link, however dense a group of copies is.
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero and is
 linked like any other; rows without a key get the component of their fingerprint, or null;
-rows that repeat a key are one document; columns other than key and text are ignored.
+rows that repeat a key have the component of their own text each, so that a key with different
+texts may stand in several groups; columns other than key and text are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,6 @@ from pyspark.sql import functions as F
 
 from labelloom.llm.common import ship
 from labelloom.llm.components import components
-from labelloom.llm.near import near_copies
 from labelloom.plans.registry import query
 from labelloom.storage import written
 
@@ -136,19 +136,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return known.union(asked)
 
 
-def deduplicate(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float | None = None
-) -> DataFrame:
-    """One row of each group: the one with the least key. All columns stay.
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """One row of each group of ``near_duplicates``: the one with the least key. All columns stay.
 
-    Groups are those of ``near_duplicates``, or with a ``similarity`` those of texts whose
-    shingles have that Jaccard similarity (``near.near_copies``). Of rows that repeat a key
-    one stays; rows without a key cannot be named and all stay.
+    Of rows that repeat a key one stays; rows without a key cannot be named and all stay.
     """
-    if similarity is None:
-        groups = near_duplicates(docs, key, text, shingle)
-    else:
-        groups = near_copies(docs, key, text, shingle, similarity)
+    groups = near_duplicates(docs, key, text, shingle)
     stay = written(
         groups.groupBy("key", "component").agg(F.count("*").alias("n"))
         .filter(F.col("key") == F.col("component")).select(F.col("key").alias("_key"), "n"),
