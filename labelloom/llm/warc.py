@@ -16,6 +16,8 @@ and all rows with the largest id of equal payloads are responses. Extra columns
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 import math
 
 import numpy as np
@@ -30,6 +32,8 @@ from labelloom.storage import new_path, written
 
 VERSION = "WARC/1.0\r\n"
 BLANK = "\r\n\r\n"
+# What a revisit record is, by the standard.
+PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 # Payloads shorter than this are always written in full.
 LEAST_REVISIT = 1000
 # Bytes of a file whose candidates one task follows.
@@ -54,8 +58,9 @@ def revisits(pages: DataFrame) -> DataFrame:
     )
 
 
-def write_archive(pages: DataFrame, folder: str) -> None:
-    """One record per row of ``pages (page_id, url, html)``."""
+def write_archive(pages: DataFrame, folder: str, date: datetime | None = None) -> None:
+    """One record per row of ``pages (page_id, url, html)``, all of one ``date``, now by default."""
+    stamp = (date or datetime.now(UTC)).astimezone(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(
         "page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "").alias("url"),
@@ -71,10 +76,11 @@ def write_archive(pages: DataFrame, folder: str) -> None:
         F.lit(VERSION),
         line("WARC-Type", F.when(again, F.lit("revisit")).otherwise(F.lit("response"))),
         line("WARC-Record-ID", name("page_id")),
+        line("WARC-Date", F.lit(stamp)),
         line("WARC-Target-URI", F.col("url")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
         line("X-Payload-Bytes", F.col("payload_bytes").cast("string")),
-        F.when(again, line("WARC-Refers-To", name("refers_to"))).otherwise(F.lit("")),
+        F.when(again, F.concat(line("WARC-Refers-To", name("refers_to")), line("WARC-Profile", F.lit(PROFILE)))).otherwise(F.lit("")),
         F.lit("Content-Type: text/html\r\n"),
         F.lit("Content-Length: "), F.when(again, F.lit("0")).otherwise(F.col("payload_bytes").cast("string")),
         F.lit(BLANK),
