@@ -38,19 +38,24 @@ from labelloom.storage import new_path, written
 SEQUENCE = 1024
 BATCH = 256
 END_ID = 2
-# Remembered runs between spaces, and remembered pieces of them.
-_RUNS, _PIECES = 500_000, 500_000
+# Remembered runs between spaces.
+_RUNS = 500_000
 # Beyond single spaces, white space before a space is left to the library.
 _ODD_SPACE = re.compile(r"[^\S ] ")
+# White space in a run other than single line feeds inside; such runs are encoded apart.
+_ODD_RUN = re.compile(r"\s\s|\A\s|\s\Z|[^\S\n]|\A\Z")
+# Runs that go to the library at once, and letters of texts that are learned from together.
+_TOGETHER, _LETTERS = 1000, 500_000
 
 
 class WordEncoder:
     """Ids of texts from the tokenizers library, which sees each word once.
 
-    The pattern of a byte-level tokenizer always cuts before a single space, around a single
-    line feed and between letters and a mark behind them, so the pieces that begin there are
-    encoded apart, and remembered. Texts with other runs of spaces or with special tokens
-    are encoded whole.
+    The pattern of a byte-level tokenizer always cuts before a single space and around a
+    single line feed, so the runs between spaces are encoded apart, and remembered. New runs
+    of many texts go to the library as one text, a line feed behind each, and its ids are cut
+    at those line feeds. Texts with other runs of spaces or with special tokens are encoded
+    whole.
     """
 
     def __init__(self, path: str):
@@ -62,47 +67,83 @@ class WordEncoder:
         self.dtype = np.dtype(np.uint16 if size <= 1 << 16 else np.uint32)
         self._code = "H" if self.dtype == np.uint16 else "I"
         self._special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        feed = self.library.encode("\n", add_special_tokens=False).ids
+        # The id of a line feed, if it has one of its own.
+        self._feed = feed[0] if len(feed) == 1 else None
         self._runs: dict[str, bytes] = {}
-        self._pieces: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [array(self._code, e.ids).tobytes() for e in found]
 
+    def _together(self, runs: list[str]) -> list[bytes] | None:
+        """Ids of runs in one call; None if the ids do not fall apart at the line feeds."""
+        text = " " + "\n ".join(runs) + "\n"
+        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+        feeds = np.flatnonzero(ids == self._feed)
+        # A run's own line feeds come before the one behind it.
+        own = np.cumsum([1 + r.count("\n") for r in runs])
+        if len(feeds) != own[-1]:
+            return None
+        ends = feeds[own - 1]
+        data, width = ids.tobytes(), self.dtype.itemsize
+        begins = np.concatenate([[0], ends[:-1] + 1]) * width
+        return [data[a:b] for a, b in zip(begins.tolist(), (ends * width).tolist(), strict=True)]
+
     def _learn(self, runs: set[str]) -> None:
         """Remember runs, which stand behind a space."""
-        cut = {r: _cut(" " + r) for r in runs}
-        new = list({p for pieces in cut.values() for p in pieces if p not in self._pieces})
-        if len(self._pieces) + len(new) > _PIECES:
-            self._pieces.clear()
-            new = list({p for pieces in cut.values() for p in pieces})
-        if new:
-            self._pieces.update(zip(new, self._ids(new), strict=True))
         if len(self._runs) + len(runs) > _RUNS:
             self._runs.clear()
-        known = self._pieces.__getitem__
-        self._runs.update((r, b"".join(map(known, pieces))) for r, pieces in cut.items())
-
-    def encode(self, text: str) -> bytes:
-        if "  " in text or _ODD_SPACE.search(text) or any(s in text for s in self._special):
-            return self._ids([text])[0]
-        first, *runs = text.split(" ")
-        ids = list(map(self._runs.get, runs))
-        if None in ids:
-            self._learn({r for r, i in zip(runs, ids, strict=True) if i is None})
-            # Learning may have made room by forgetting.
-            ids = [self._runs.get(r) if i is None else i for r, i in zip(runs, ids, strict=True)]
-        return b"".join([self._ids([first])[0] if first else b"", *ids])
-
-
-def _cut(run: str) -> list[str]:
-    """Pieces of a run that the pattern always tells apart."""
-    before, feed, after = run.partition("\n")
-    if feed and before and after and not before[-1].isspace() and not after[0].isspace():
-        return [*_cut(before), feed, *_cut(after)]
-    if run[-1] in ".,;:!?" and run[1 if run[0] == " " else 0 : -1].isalpha():
-        return [run[:-1], run[-1]]
-    return [run]
+        odd = _ODD_RUN.search
+        plain = [r for r in runs if not odd(r)] if self._feed is not None else []
+        apart = list(runs.difference(plain))
+        for at in range(0, len(plain), _TOGETHER):
+            some = plain[at : at + _TOGETHER]
+            found = self._together(some)
+            if found is None:
+                apart += some
+            else:
+                self._runs.update(zip(some, found, strict=True))
+        if apart:
+            self._runs.update(zip(apart, self._ids([" " + r for r in apart]), strict=True))
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text; what is new in all of them is learned first."""
+        cut: list[list[str] | None] = []
+        unseen: set[str] = set()
+        for text in texts:
+            if "  " in text or _ODD_SPACE.search(text) or any(s in text for s in self._special):
+                cut.append(None)
+            else:
+                first, *runs = text.split(" ")
+                cut.append([first, runs])
+                unseen.update(set(runs).difference(self._runs))
+        if unseen:
+            self._learn(unseen)
+        known = self._runs.get
+        for text, parts in zip(texts, cut, strict=True):
+            if parts is None:
+                yield self._ids([text])[0]
+                continue
+            first, runs = parts
+            ids = list(map(known, runs))
+            if None in ids:  # learning may have made room by forgetting
+                self._learn({r for r, i in zip(runs, ids, strict=True) if i is None})
+                ids = [known(r) if i is None else i for r, i in zip(runs, ids, strict=True)]
+            yield b"".join([self._ids([first])[0] if first else b"", *ids])
+
+
+def _batches(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts in lists of about ``_LETTERS`` letters."""
+    found: list[str] = []
+    size = 0
+    for t in texts:
+        found.append(t.as_py() or "")
+        size += len(found[-1])
+        if size >= _LETTERS:
+            yield found
+            found, size = [], 0
+    yield found
 
 
 @cache
@@ -202,12 +243,13 @@ def write_tokens(
         end = np.array([end_id], encoder.dtype).tobytes()
         for rows in batches:
             names, firsts, counts = [], [], []
-            for p, t in zip(rows.column(1).to_pylist(), rows.column(2), strict=True):
+            encoded = (ids for texts in _batches(rows.column(2)) for ids in encoder.encode(texts))
+            for p, t in zip(rows.column(1).to_pylist(), encoded, strict=True):
                 if p != part:
                     if file:
                         file.close()
                     file, part = _File(folder, p, encoder.dtype, length, batch), p
-                ids = np.frombuffer(encoder.encode(t.as_py() or "") + end, encoder.dtype)
+                ids = np.frombuffer(t + end, encoder.dtype)
                 names.append(file.name)
                 firsts.append(file.add(ids))
                 counts.append(len(ids))
