@@ -8,8 +8,9 @@ No token is longer than the longest one that the merge list makes. That length i
 sufficient lookahead: every encoding that starts like the text so far has a token boundary
 among the last so many positions. Tokens before the last boundary that the encodings of all
 these positions share are stable, are put out and forgotten; a word of any length passes
-through a window of a few times the lookahead. Short words are remembered, a bounded number
-of them per task.
+through a window of a few times the lookahead. A word that fits the window as a whole is
+stable at its end only; its tokens are found by the same relation, longest first. Short words
+are remembered, a bounded number of them per task.
 
 Tokenizer files are read by the ``tokenizers`` library's JSON format: BPE with or without
 word ends, byte level, split by a pattern. Their path is a parameter.
@@ -41,10 +42,12 @@ _GAPS = re.compile(f"[{WHITE}]+")
 # Python's split() also cuts at these, which are not white space.
 _NO_GAPS = re.compile("[\x1c-\x1f]")
 # Remembered words, and the longest word worth remembering.
-_WORDS = 400_000
+_WORDS = 200_000
 # Remembered answers to whether one token may follow another.
-_PAIRS = 300_000
+_PAIRS = 200_000
 _LONG = 64
+# Rows that a task hands on at a time.
+_ROWS = 512
 # Positions between two searches for stable tokens.
 _STEP = 512
 
@@ -71,6 +74,12 @@ class Merges:
         self.lookahead = max(
             len(t) - cut if cut and t.endswith(word_end) else len(t) for t in vocab
         )
+        # Lengths, longest first, of the tokens inside words that begin with two letters.
+        begin: dict[str, set[int]] = {}
+        for t in vocab:
+            if len(t) > 1 and not (cut and t.endswith(word_end)):
+                begin.setdefault(t[:2], set()).add(len(t))
+        self._lengths = {k: sorted(v, reverse=True) for k, v in begin.items()}
 
     def _letters(self, token: str) -> list[str]:
         end = self.word_end
@@ -99,6 +108,43 @@ class Merges:
             known = self._whole[token] = self._merge(self._letters(token)) == [token]
         return known
 
+    def _choices(self, word: str, at: int) -> Iterator[tuple[str, int]]:
+        """Tokens that may stand at a place of a word, longest first, with their ends."""
+        rest, vocab = word[at:], self.vocab
+        last, size = rest + self.word_end, len(rest)
+        if last in vocab:
+            yield last, at + size
+        for n in self._lengths.get(rest[:2], ()):
+            if n < size and rest[:n] in vocab:
+                yield rest[:n], at + n
+        if size > 1 and rest[0] in vocab:
+            yield rest[0], at + 1
+
+    def short(self, word: str) -> list[str]:
+        """Tokens of a word that fits the window as a whole.
+
+        Longest tokens are tried first; a place from which no token leads on cannot be a
+        boundary and is not tried again. What is found is the one sequence in which every
+        token may follow the one before it, as ``transduce`` finds it.
+        """
+        n, out, places, dead = len(word), [], [0], set()
+        open_choices = [self._choices(word, 0)]
+        while open_choices:
+            for token, end in open_choices[-1]:
+                if end not in dead and (self.follows(out[-1], token) if out else self.whole(token)):
+                    out.append(token)
+                    if end == n:
+                        return out
+                    places.append(end)
+                    open_choices.append(self._choices(word, end))
+                    break
+            else:
+                dead.add(places.pop())
+                open_choices.pop()
+                if out:
+                    out.pop()
+        raise ValueError(f"no tokens for {word!r}")
+
     def follows(self, left: str, right: str) -> bool:
         """True if ``right`` may stand after ``left``.
 
@@ -240,7 +286,8 @@ class Encoder:
         if ids is None:
             letters = word.encode("utf-8").decode("latin-1").translate(self._letters)
             vocab = self.merges.vocab
-            ids = b"".join(vocab[t].to_bytes(4, "little") for t in transduce(letters, self.merges))
+            tokens = self.merges.short(letters) if len(letters) <= _LONG else transduce(letters, self.merges)
+            ids = b"".join([vocab[t].to_bytes(4, "little") for t in tokens])
             if len(word) <= _LONG:
                 if len(self._known) >= _WORDS:
                     self._known.clear()
@@ -331,28 +378,32 @@ def token_digests(
         encoder = _encoder(path)
         decoder = encoder.decoder()
         for batch in batches:
-            n, a, b, all_ids = [], [], [], []
-            for t in batch.column(1):
-                ids = encoder.encode(t.as_py())
-                view = memoryview(ids).cast("I")
-                digest = hashlib.sha256()
-                for at in range(0, len(view), 65_536):
-                    digest.update(decoder.feed(view[at : at + 65_536]).encode())
-                digest.update(decoder.end().encode())
-                n.append(len(view))
-                if with_ids:
-                    all_ids.append(ids)
-                a.append(hashlib.sha256(ids).hexdigest())
-                b.append(digest.hexdigest())
-            columns = {
-                "key": batch.column(0), "n_tokens": pa.array(n, pa.int64()),
-                "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string()),
-            }
-            if with_ids:
-                columns["ids"] = pa.array(all_ids, pa.binary())
-            yield pa.RecordBatch.from_pydict(columns)
+            for at in range(0, batch.num_rows, _ROWS):
+                yield digests(batch.slice(at, _ROWS), encoder, decoder)
         encoder.forget()
 
+    def digests(batch: pa.RecordBatch, encoder: Encoder, decoder: Decoder) -> pa.RecordBatch:
+        n, a, b, all_ids = [], [], [], []
+        for t in batch.column(1):
+            ids = encoder.encode(t.as_py())
+            view = memoryview(ids).cast("I")
+            digest = hashlib.sha256()
+            for at in range(0, len(view), 65_536):
+                digest.update(decoder.feed(view[at : at + 65_536]).encode())
+            digest.update(decoder.end().encode())
+            n.append(len(view))
+            if with_ids:
+                all_ids.append(ids)
+            a.append(hashlib.sha256(ids).hexdigest())
+            b.append(digest.hexdigest())
+        columns = {
+            "key": batch.column(0), "n_tokens": pa.array(n, pa.int64()),
+            "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string()),
+        }
+        if with_ids:
+            columns["ids"] = pa.array(all_ids, pa.binary())
+        return pa.RecordBatch.from_pydict(columns)
+
     ship(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
