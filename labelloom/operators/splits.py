@@ -15,10 +15,13 @@ from labelloom.operators.keyed import (
 def split_random(
     df: DataFrame, key: str, shares: Mapping[str, float], seed: object = 100, name: str = "split"
 ) -> DataFrame:
-    """Independent draw per row with the given shares; no shuffle, no second pass."""
+    """Independent draw per row with the given shares; no shuffle, no second pass.
+
+    Rows without a key come first in hash order and so are in the first part.
+    """
     parts = list(shares)
     total = float(sum(shares.values()))
-    hashed = hash_key(key, seed)
+    hashed = F.coalesce(hash_key(key, seed), F.lit("0" * 32))
     chosen: Column | None = None
     upto = 0.0
     for part in parts[:-1]:

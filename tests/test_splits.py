@@ -119,3 +119,9 @@ def test_rows_without_a_key_keep_a_place(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (None, "a")], "id long, label string")
     assert splits.fold_stratified(df, "id", "label", 2).count() == 3
     assert splits.shard_equal(df, "id", 2).count() == 3
+
+
+def test_rows_without_a_key_are_in_the_first_part(spark):
+    rows = spark.createDataFrame([(1,), (None,), (2,)], "k long")
+    got = splits.split_random(rows, "k", {"train": 0.5, "test": 0.5}).filter("k is null").first()
+    assert got["split"] == "train"
