@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import math
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyarrow import fs
@@ -24,6 +25,32 @@ PART_BYTES = 8_000_000
 _ACCURACY = 200_000
 
 
+class Memory(dict[str, bytes]):
+    """What was made of texts: what is not known yet is looked up in an older memory, then made.
+
+    Only texts of up to ``longest`` letters are remembered.
+    """
+
+    def __init__(self, make: Callable[[str], bytes], size: int, longest: int, older: dict[str, bytes] | None = None):
+        self._make, self._size, self._longest, self._older = make, size, longest, older or {}
+
+    def __missing__(self, text: str) -> bytes:
+        found = self._older.get(text)
+        if found is None:
+            found = self._make(text)
+        if len(text) <= self._longest:
+            self[text] = found
+        return found
+
+    def renewed(self) -> Memory:
+        """This memory, or an empty one in front of it if it is full."""
+        return self if len(self) < self._size else Memory(self._make, self._size, self._longest, dict(self))
+
+    def forget(self) -> None:
+        self.clear()
+        self._older = {}
+
+
 def words(text: Column) -> Column:
     """Words of a text; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")

@@ -17,6 +17,7 @@ another in the order of their texts; null keys come first; extra columns are ign
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -31,21 +32,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import filesystem, ordered_parts, ship
+from labelloom.llm.bpe import byte_letters
+from labelloom.llm.common import Memory, filesystem, ordered_parts, ship
 from labelloom.plans.registry import query
 from labelloom.storage import new_path, written
 
 SEQUENCE = 1024
 BATCH = 256
 END_ID = 2
-# Remembered runs between spaces.
-_RUNS = 500_000
+# Remembered runs between spaces, and pieces of runs; as many of the time before may still be known.
+_RUNS, _PIECES = 200_000, 200_000
+# The longest of them worth remembering.
+_LONG = 64
+# Runs of a text that are looked up at a time.
+_TOGETHER = 50_000
 # Beyond single spaces, white space before a space is left to the library.
 _ODD_SPACE = re.compile(r"[^\S ] ")
-# White space in a run other than single line feeds inside; such runs are encoded apart.
-_ODD_RUN = re.compile(r"\s\s|\A\s|\s\Z|[^\S\n]|\A\Z")
-# Runs that go to the library at once, and letters of texts that are learned from together.
-_TOGETHER, _LETTERS = 1000, 500_000
+# Letters that are letters in every version of Unicode, and the pattern by which
+# byte-level tokenizers cut texts, for texts of these letters, digits, ASCII marks and line feeds.
+_ALPHABET = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-\u03c9\u0400-\u0481"
+_PLAIN_RUN = re.compile(rf"[!-~{_ALPHABET}]+(?:\n[!-~{_ALPHABET}]+)*").fullmatch
+_PIECE = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_ALPHABET}]+| ?[0-9]+| ?[^\s{_ALPHABET}0-9]+|\n"
+).findall
 
 
 class WordEncoder:
@@ -53,9 +62,9 @@ class WordEncoder:
 
     The pattern of a byte-level tokenizer always cuts before a single space and around a
     single line feed, so the runs between spaces are encoded apart, and remembered. New runs
-    of many texts go to the library as one text, a line feed behind each, and its ids are cut
-    at those line feeds. Texts with other runs of spaces or with special tokens are encoded
-    whole.
+    of plain letters are cut into pieces here, by the same pattern, and new pieces go to the
+    library's model; other new runs go to the library as they are. Texts with other runs of
+    spaces or with special tokens are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -67,83 +76,48 @@ class WordEncoder:
         self.dtype = np.dtype(np.uint16 if size <= 1 << 16 else np.uint32)
         self._code = "H" if self.dtype == np.uint16 else "I"
         self._special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        feed = self.library.encode("\n", add_special_tokens=False).ids
-        # The id of a line feed, if it has one of its own.
-        self._feed = feed[0] if len(feed) == 1 else None
-        self._runs: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [array(self._code, e.ids).tobytes() for e in found]
-
-    def _together(self, runs: list[str]) -> list[bytes] | None:
-        """Ids of runs in one call; None if the ids do not fall apart at the line feeds."""
-        text = " " + "\n ".join(runs) + "\n"
-        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
-        feeds = np.flatnonzero(ids == self._feed)
-        # A run's own line feeds come before the one behind it.
-        own = np.cumsum([1 + r.count("\n") for r in runs])
-        if len(feeds) != own[-1]:
-            return None
-        ends = feeds[own - 1]
-        data, width = ids.tobytes(), self.dtype.itemsize
-        begins = np.concatenate([[0], ends[:-1] + 1]) * width
-        return [data[a:b] for a, b in zip(begins.tolist(), (ends * width).tolist(), strict=True)]
-
-    def _learn(self, runs: set[str]) -> None:
-        """Remember runs, which stand behind a space."""
-        if len(self._runs) + len(runs) > _RUNS:
-            self._runs.clear()
-        odd = _ODD_RUN.search
-        plain = [r for r in runs if not odd(r)] if self._feed is not None else []
-        apart = list(runs.difference(plain))
-        for at in range(0, len(plain), _TOGETHER):
-            some = plain[at : at + _TOGETHER]
-            found = self._together(some)
-            if found is None:
-                apart += some
-            else:
-                self._runs.update(zip(some, found, strict=True))
-        if apart:
-            self._runs.update(zip(apart, self._ids([" " + r for r in apart]), strict=True))
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text; what is new in all of them is learned first."""
-        cut: list[list[str] | None] = []
-        unseen: set[str] = set()
-        for text in texts:
-            if "  " in text or _ODD_SPACE.search(text) or any(s in text for s in self._special):
-                cut.append(None)
-            else:
-                first, *runs = text.split(" ")
-                cut.append([first, runs])
-                unseen.update(set(runs).difference(self._runs))
-        if unseen:
-            self._learn(unseen)
-        known = self._runs.get
-        for text, parts in zip(texts, cut, strict=True):
-            if parts is None:
-                yield self._ids([text])[0]
-                continue
-            first, runs = parts
-            ids = list(map(known, runs))
-            if None in ids:  # learning may have made room by forgetting
-                self._learn({r for r, i in zip(runs, ids, strict=True) if i is None})
-                ids = [known(r) if i is None else i for r, i in zip(runs, ids, strict=True)]
-            yield b"".join([self._ids([first])[0] if first else b"", *ids])
-
-
-def _batches(texts: pa.Array) -> Iterator[list[str]]:
-    """The texts in lists of about ``_LETTERS`` letters."""
-    found: list[str] = []
-    size = 0
-    for t in texts:
-        found.append(t.as_py() or "")
-        size += len(found[-1])
-        if size >= _LETTERS:
-            yield found
-            found, size = [], 0
-    yield found
+        self._tokenize = self.library.model.tokenize
+        self._letters = dict(enumerate(byte_letters()))
+        self._plain = self._cuts_alike()
+        self._runs = Memory(self._run, _RUNS, _LONG)
+        self._pieces = Memory(self._piece, _PIECES, _LONG)
+
+    def _cuts_alike(self) -> bool:
+        """True if the file's rules are those of a byte-level tokenizer and nothing else."""
+        spec = json.loads(self.library.to_str())
+        rules, model = spec["pre_tokenizer"] or {}, spec["model"]
+        return (
+            spec["normalizer"] is None and rules.get("type") == "ByteLevel" and rules.get("use_regex", True)
+            and not rules.get("add_prefix_space") and model["type"] == "BPE" and not model["dropout"]
+        )
+
+    def _ids(self, text: str) -> bytes:
+        return array(self._code, self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece from the library's model."""
+        if piece.isascii() and piece != "\n":
+            letters = piece.replace(" ", self._letters[32])
+        else:
+            letters = piece.encode("utf-8").decode("latin-1").translate(self._letters)
+        return array(self._code, [t.id for t in self._tokenize(letters)]).tobytes()
+
+    def _run(self, run: str) -> bytes:
+        """Ids of a run, which stands behind a space."""
+        if self._plain and _PLAIN_RUN(run):
+            return b"".join(map(self._pieces.__getitem__, _PIECE(" " + run)))
+        return self._ids(" " + run)
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text."""
+        if "  " in text or _ODD_SPACE.search(text) or any(s in text for s in self._special):
+            return self._ids(text)
+        first, *runs = text.split(" ")
+        found = [self._ids(first)] if first else []
+        for at in range(0, len(runs), _TOGETHER):
+            self._runs, self._pieces = self._runs.renewed(), self._pieces.renewed()
+            found += map(self._runs.__getitem__, runs[at : at + _TOGETHER])
+        return b"".join(found)
 
 
 @cache
@@ -243,13 +217,12 @@ def write_tokens(
         end = np.array([end_id], encoder.dtype).tobytes()
         for rows in batches:
             names, firsts, counts = [], [], []
-            encoded = (ids for texts in _batches(rows.column(2)) for ids in encoder.encode(texts))
-            for p, t in zip(rows.column(1).to_pylist(), encoded, strict=True):
+            for p, text in zip(rows.column(1).to_pylist(), rows.column(2), strict=True):
                 if p != part:
                     if file:
                         file.close()
                     file, part = _File(folder, p, encoder.dtype, length, batch), p
-                ids = np.frombuffer(t + end, encoder.dtype)
+                ids = np.frombuffer(encoder.encode(text.as_py() or "") + end, encoder.dtype)
                 names.append(file.name)
                 firsts.append(file.add(ids))
                 counts.append(len(ids))

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from labelloom.llm import bpe, multiset, simhash, token_files
+from labelloom.llm import bpe, common, multiset, simhash, token_files
 from labelloom.llm.mixing import split_quotas
 from labelloom.llm.suffixes import suffix_sort
 
@@ -72,6 +72,22 @@ def test_decoder_keeps_unfinished_characters():
     assert decoder.feed([0]) == "" and decoder.end() == "�"
 
 
+PLAIN = ["we'll", "it's", "I'M", "don't.", "'tis", "a''s", "x9y", "12'3", "ab.\nCd", "é--É", "naïve###", "Привет", "αβγ!", "ªº", "ß²", "漢字", "the", "'", "''ve", "a\nb\nc", "ſt", "İx"]
+
+
+def test_plain_runs_equal_whole_texts_while_memories_fill_up(byte_bpe):
+    ours, library = byte_bpe
+    r = random.Random(5)
+    runs, pieces = ours._runs, ours._pieces
+    ours._runs, ours._pieces = common.Memory(ours._run, 7, 5), common.Memory(ours._piece, 5, 5)
+    for _ in range(400):
+        text = " ".join("".join(r.choices(PLAIN, k=r.randrange(1, 3))) for _ in range(r.randrange(12)))
+        ids = np.frombuffer(ours.encode(text), ours.dtype).tolist()
+        assert ids == library.encode(text, add_special_tokens=False).ids
+        assert len(ours._runs) < 7 + 12 and max(map(len, ours._runs), default=0) <= 5
+    ours._runs, ours._pieces = runs, pieces
+
+
 def test_words_apart_equal_whole_texts(byte_bpe):
     ours, library = byte_bpe
     for text in [*texts(2), " a", "a ", "a\n ", "\n\n a  b", ""]:
