@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import ship
+from labelloom.llm.common import Memory, ship
 from labelloom.plans.registry import query
 
 # Unicode white space, as pattern engines of tokenizers see it.
@@ -41,11 +41,13 @@ WHITE = "\t-\r \x85\xa0  -     　"
 _GAPS = re.compile(f"[{WHITE}]+")
 # Python's split() also cuts at these, which are not white space.
 _NO_GAPS = re.compile("[\x1c-\x1f]")
-# Remembered words, and the longest word worth remembering.
-_WORDS = 200_000
+# Remembered words and runs, with as many of the time before, and the longest worth remembering.
+_WORDS = 100_000
 # Remembered answers to whether one token may follow another.
 _PAIRS = 200_000
 _LONG = 64
+# Runs of a text that are looked up at a time.
+_TOGETHER = 50_000
 # Rows that a task hands on at a time.
 _ROWS = 512
 # Positions between two searches for stable tokens.
@@ -278,46 +280,28 @@ class Encoder:
         for t, i in {**model["vocab"], **added}.items():
             self.tokens[i] = t
         self.byte_level = (spec["decoder"] or {}).get("type") == "ByteLevel"
-        self._runs: dict[str, bytes] = {}
-        self._known: dict[str, bytes] = {}
+        self._runs = Memory(self._run, _WORDS, _LONG)
+        self._known = Memory(self._word, _WORDS, _LONG)
 
     def _word(self, word: str) -> bytes:
-        ids = self._known.get(word)
-        if ids is None:
-            letters = word.encode("utf-8").decode("latin-1").translate(self._letters)
-            vocab = self.merges.vocab
-            tokens = self.merges.short(letters) if len(letters) <= _LONG else transduce(letters, self.merges)
-            ids = b"".join([vocab[t].to_bytes(4, "little") for t in tokens])
-            if len(word) <= _LONG:
-                if len(self._known) >= _WORDS:
-                    self._known.clear()
-                self._known[word] = ids
-        return ids
+        letters = word.encode("utf-8").decode("latin-1").translate(self._letters)
+        vocab = self.merges.vocab
+        tokens = self.merges.short(letters) if len(letters) <= _LONG else transduce(letters, self.merges)
+        return b"".join([vocab[t].to_bytes(4, "little") for t in tokens])
 
     def _run(self, run: str) -> bytes:
         """Ids of a run without white space."""
         text = unicodedata.normalize("NFC", run) if self._nfc else run
         if self._lower:  # letter by letter: a final sigma is no special case
             text = text.replace("Σ", "σ").lower()
-        return b"".join(map(self._word, self._words(text)))
+        return b"".join(map(self._known.__getitem__, self._words(text)))
 
     def _plain(self, text: str) -> bytes:
         runs = _GAPS.split(text) if _NO_GAPS.search(text) else text.split()
-        known = self._runs
-        try:
-            return b"".join(map(known.__getitem__, runs))
-        except KeyError:
-            pass
         out = []
-        for run in runs:
-            ids = known.get(run)
-            if ids is None:
-                ids = self._run(run)
-                if len(run) <= _LONG:
-                    if len(known) >= _WORDS:
-                        known.clear()
-                    known[run] = ids
-            out.append(ids)
+        for at in range(0, len(runs), _TOGETHER):
+            self._runs, self._known = self._runs.renewed(), self._known.renewed()
+            out += map(self._runs.__getitem__, runs[at : at + _TOGETHER])
         return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
@@ -330,8 +314,8 @@ class Encoder:
 
     def forget(self) -> None:
         """Drop what is remembered: a worker keeps its memory while others work."""
-        self._runs.clear()
-        self._known.clear()
+        self._runs.forget()
+        self._known.forget()
         self.merges.forget()
 
     def decoder(self) -> Decoder:
