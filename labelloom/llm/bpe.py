@@ -42,7 +42,7 @@ _GAPS = re.compile(f"[{WHITE}]+")
 # Python's split() also cuts at these, which are not white space.
 _NO_GAPS = re.compile("[\x1c-\x1f]")
 # Remembered words and runs, with as many of the time before, and the longest worth remembering.
-_WORDS = 100_000
+WORDS = 200_000
 # Remembered answers to whether one token may follow another.
 _PAIRS = 200_000
 _LONG = 64
@@ -258,7 +258,7 @@ class Decoder:
 class Encoder:
     """Encodes texts by the rules of a tokenizer file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = WORDS):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -280,8 +280,8 @@ class Encoder:
         for t, i in {**model["vocab"], **added}.items():
             self.tokens[i] = t
         self.byte_level = (spec["decoder"] or {}).get("type") == "ByteLevel"
-        self._runs = Memory(self._run, _WORDS, _LONG)
-        self._known = Memory(self._word, _WORDS, _LONG)
+        self._runs = Memory(self._run, words, _LONG)
+        self._known = Memory(self._word, words, _LONG)
 
     def _word(self, word: str) -> bytes:
         letters = word.encode("utf-8").decode("latin-1").translate(self._letters)
@@ -323,8 +323,8 @@ class Encoder:
 
 
 @cache
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+def _encoder(path: str, words: int = WORDS) -> Encoder:
+    return Encoder(path, words)
 
 
 def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -351,20 +351,23 @@ def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
 
 
 def token_digests(
-    docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", with_ids: bool = False
+    docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", with_ids: bool = False,
+    words: int = WORDS, keep: bool = True,
 ) -> DataFrame:
     """``(key, n_tokens, ids_sha256, decoded_sha256)``, hashed as the pieces come.
 
-    ``with_ids`` adds the ids as binary, four bytes each.
+    ``with_ids`` adds the ids as binary, four bytes each. ``words`` bounds what a worker
+    remembers; with ``keep`` it still knows it in its next task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder = _encoder(path, words)
         decoder = encoder.decoder()
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS):
                 yield digests(batch.slice(at, _ROWS), encoder, decoder)
-        encoder.forget()
+        if not keep:
+            encoder.forget()
 
     def digests(batch: pa.RecordBatch, encoder: Encoder, decoder: Decoder) -> pa.RecordBatch:
         n, a, b, all_ids = [], [], [], []
