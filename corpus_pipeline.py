@@ -21,6 +21,8 @@ from labelloom.storage import drop_folder, run_folder, written
 
 # The mix goes to shards of about so many bytes of text, and to so many at least.
 SHARD_BYTES, LEAST_SHARDS = 128_000_000, 64
+# Words that a worker remembers while it encodes: workers of earlier stages still hold memory.
+WORDS = 100_000
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 _finished: dict[str, list[str]] = {}
 
@@ -77,7 +79,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256, ids)`` of every document of the mix."""
-    return bpe.token_digests(docs, bpe.default_tokenizer(), with_ids=True).withColumnRenamed("key", "doc_id")
+    digests = bpe.token_digests(docs, bpe.default_tokenizer(), with_ids=True, words=WORDS, keep=False)
+    return digests.withColumnRenamed("key", "doc_id")
 
 
 STAGES = [
