@@ -127,3 +127,13 @@ def test_only_a_local_session_gets_its_own_folder(master):
     else:
         with pytest.raises(ValueError):
             storage.shared_dir(session)
+
+
+def test_labelled_files_keep_their_document(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([(1, "x"), (2, "y\nz"), (7, "x")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1), (2, 0), (7, 1), (9, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = entry.queries()["src_labelled_files"](spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["label"], r["n_chars"]) for r in rows) == [(1, "truthful", 2), (2, "deceptive", 4), (7, "truthful", 2)]
+    assert "SELECT l.doc_id, " in entry.oracle_sql()["src_labelled_files"]
