@@ -125,3 +125,9 @@ def test_rows_without_a_key_are_in_the_first_part(spark):
     rows = spark.createDataFrame([(1,), (None,), (2,)], "k long")
     got = splits.split_random(rows, "k", {"train": 0.5, "test": 0.5}).filter("k is null").first()
     assert got["split"] == "train"
+
+
+def test_offsets_of_many_groups_are_not_broadcast(spark):
+    out = splits.batch_assign_all(ids(spark, 500), "id", 64, 20)
+    assert len(out.collect()) == 500 * 20
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
