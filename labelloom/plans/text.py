@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,18 +30,25 @@ def udf_text_fn(spark, sf):
     return t.noisy(spark, sf).select("doc_id", T.clean_tweet(F.col("content")).alias("clean"))
 
 
-@query("udf_partition_fn", _CLEAN_SQL)
-def udf_partition_fn(spark, sf):
-    """A user function over whole partitions, fed with Arrow batches."""
+def partition_cleaner(pattern: str):
+    """A function over the frames of a partition that cleans one text at a time.
+
+    So a batch never holds the words of all its texts.
+    """
+    noise = re.compile(pattern)
 
     def clean(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            text = frame["content"].str.replace(T.TWEET_NOISE, " ", regex=True)
-            yield pd.DataFrame(
-                {"doc_id": frame["doc_id"], "clean": text.str.split().str.join(" ")}
-            )
+            text = [None if pd.isna(x) else " ".join(noise.sub(" ", x).split()) for x in frame["content"]]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "clean": pd.Series(text, index=frame.index, dtype="object")})
+
+    return clean
 
-    return t.noisy(spark, sf).mapInPandas(clean, "doc_id long, clean string")
+
+@query("udf_partition_fn", _CLEAN_SQL)
+def udf_partition_fn(spark, sf):
+    """A user function over whole partitions, fed with Arrow batches."""
+    return t.noisy(spark, sf).mapInPandas(partition_cleaner(T.TWEET_NOISE), "doc_id long, clean string")
 
 
 @query(

@@ -103,3 +103,20 @@ def test_stop_words_go_in_list_order(spark, words, text):
     got = spark.createDataFrame([(text,)], "x string").select(T.strip_stop_words(F.col("x"), words)).first()[0]
     assert got == want
     assert len(T.stop_word_passes(T.ENGLISH_STOP_WORDS)) == 1
+
+
+def test_partition_cleaner_holds_the_words_of_one_text():
+    import tracemalloc
+
+    import pandas as pd
+
+    from labelloom.plans.text import partition_cleaner
+
+    text = "@who said: it's ok! " * 500
+    frame = pd.DataFrame({"doc_id": range(300), "content": [text + str(i) for i in range(299)] + [None]})
+    tracemalloc.start()
+    out = next(partition_cleaner(T.TWEET_NOISE)(iter([frame])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out["clean"][1].startswith("said it s ok said") and out["clean"][1].endswith(" 1") and out["clean"][299] is None
+    assert peak < 2 * 300 * len(text)
