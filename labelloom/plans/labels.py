@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from labelloom.functions import arrays as A
 from labelloom.operators import evaluation, labels, vocabulary
-from labelloom.operators.lookup import lookup
 from labelloom.operators import vectors as V
 from labelloom.plans import tables as t
 from labelloom.plans.registry import query
 from labelloom.plans.tables_io import word_vectors
+from labelloom.storage import written
 
 _SOURCE_IDS = (
     "SELECT author, CAST(row_number() OVER (ORDER BY first_id) - 1 AS INTEGER) AS label_id FROM "
@@ -120,13 +120,10 @@ _VOCABULARY = t.sql_vocabulary(t.SQL_REVIEW)
     f"JOIN ({_VOCABULARY}) USING (word) GROUP BY doc_id",
 )
 def join_word_ids(spark, sf):
-    docs = t.review_tokens(spark, sf)
+    # Cut into words once: the vocabulary and the join both read them.
+    docs = written(t.review_tokens(spark, sf), "tokens")
     table = vocabulary.distinct_words(docs, "tokens")
-    counts = vocabulary.term_counts(docs, "tokens", "doc_id", term="word")
-    return lookup(counts, table, "word", "doc_id", "uses").groupBy("doc_id").agg(
-        F.sum("tf").alias("tokens"), F.sum(F.col("tf") * F.col("word_id")).alias("id_sum"),
-        F.min("word_id").alias("id_min"), F.max("word_id").alias("id_max"),
-    )
+    return vocabulary.id_summary(vocabulary.document_terms(docs, "tokens", "doc_id"), "doc_id", table)
 
 
 @query(
