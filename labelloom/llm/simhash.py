@@ -148,7 +148,8 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
         "stay",
     )
     columns = docs.columns
-    kept = docs.join(stay.select("_key", F.col("n").alias("_n")), F.col(key) == F.col("_key"))
+    # One way at every size: rows meet their key, which alone is held by a task.
+    kept = docs.join(stay.select("_key", F.col("n").alias("_n")).hint("shuffle_hash"), F.col(key) == F.col("_key"))
     once = kept.filter("_n = 1").select(*columns)
     repeated = kept.filter("_n > 1").dropDuplicates([key]).select(*columns)
     return once.union(repeated).union(docs.filter(F.col(key).isNull()))
