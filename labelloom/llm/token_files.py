@@ -28,6 +28,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,13 +42,11 @@ SEQUENCE = 1024
 BATCH = 256
 END_ID = 2
 # Remembered runs between spaces, and pieces of runs; as many of the time before may still be known.
-_RUNS, _PIECES = 200_000, 200_000
+_RUNS, _PIECES = 400_000, 200_000
 # The longest of them worth remembering.
 _LONG = 64
-# Runs of a text that are looked up at a time.
-_TOGETHER = 50_000
-# Beyond single spaces, white space before a space is left to the library.
-_ODD_SPACE = re.compile(r"[^\S ] ")
+# Texts of about so many bytes are encoded at a time.
+_TOGETHER = 4_000_000
 # Letters that are letters in every version of Unicode, and the pattern by which
 # byte-level tokenizers cut texts, for texts of these letters, digits, ASCII marks and line feeds.
 _ALPHABET = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-\u03c9\u0400-\u0481"
@@ -57,12 +56,17 @@ _PIECE = re.compile(
 ).findall
 
 
+def _is_open(run: str) -> bool:
+    """True if a run is empty or ends in white space: a space behind it belongs to that."""
+    return not run[-1:].strip()
+
+
 class WordEncoder:
     """Ids of texts from the tokenizers library, which sees each word once.
 
     The pattern of a byte-level tokenizer always cuts before a single space and around a
-    single line feed, so the runs between spaces are encoded apart, and remembered. New runs
-    of plain letters are cut into pieces here, by the same pattern, and new pieces go to the
+    single line feed, so the runs between spaces are encoded apart, and remembered; the
+    different runs of a batch of texts are looked up once each. New runs of plain letters are cut into pieces here, by the same pattern, and new pieces go to the
     library's model; other new runs go to the library as they are. Texts with other runs of
     spaces or with special tokens are encoded whole.
     """
@@ -108,16 +112,53 @@ class WordEncoder:
             return b"".join(map(self._pieces.__getitem__, _PIECE(" " + run)))
         return self._ids(" " + run)
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text."""
-        if "  " in text or _ODD_SPACE.search(text) or any(s in text for s in self._special):
-            return self._ids(text)
-        first, *runs = text.split(" ")
-        found = [self._ids(first)] if first else []
-        for at in range(0, len(runs), _TOGETHER):
-            self._runs, self._pieces = self._runs.renewed(), self._pieces.renewed()
-            found += map(self._runs.__getitem__, runs[at : at + _TOGETHER])
-        return b"".join(found)
+    def encode(self, texts: pa.Array) -> list[memoryview]:
+        """Ids of each text."""
+        texts = texts.cast(pa.large_string())
+        split = pc.split_pattern(texts, " ")
+        each = split.flatten().dictionary_encode()
+        runs, at = each.dictionary.to_numpy(zero_copy_only=False).tolist(), each.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+        first, stops = starts[:-1], starts[1:]
+        # The first run of a text has no space before it, and so an entry of its own.
+        begin = [runs[i] for i in at[first].tolist()]
+        at[first] = np.arange(len(runs), len(runs) + len(begin))
+        self._runs, self._pieces = self._runs.renewed(), self._pieces.renewed()
+        ids = list(map(self._runs.get, runs))
+        odd = []
+        for i in [i for i, known in enumerate(ids) if known is None]:
+            # Open runs are never remembered, so each is met here.
+            if _is_open(runs[i]):
+                odd.append(i)
+                ids[i] = self._ids(" " + runs[i])
+            else:
+                ids[i] = self._runs[runs[i]]
+        ids += [self._ids(run) if run else b"" for run in begin]
+        found = pa.array(ids, pa.large_binary()).take(pa.array(at))
+        ends = np.frombuffer(found.buffers()[1], np.int64)[: len(at) + 1]
+        data = memoryview(found.buffers()[2] or b"")
+        out = [data[i:j] for i, j in zip(ends[first].tolist(), ends[stops].tolist(), strict=True)]
+        # Texts with an open run before a space, or with a special token, are encoded whole.
+        whole = {d for d, run in enumerate(begin) if run and _is_open(run) and stops[d] - first[d] > 1}
+        if odd:
+            places = np.flatnonzero(np.isin(at, odd))
+            text_of = np.searchsorted(stops, places, side="right")
+            whole.update(text_of[places != stops[text_of] - 1].tolist())
+        for special in self._special:
+            whole.update(np.flatnonzero(pc.match_substring(texts, special).to_numpy(zero_copy_only=False)).tolist())
+        for d in whole:
+            out[d] = memoryview(self._ids(texts[d].as_py()))
+        return out
+
+
+def _slices(texts: pa.Array) -> Iterator[slice]:
+    """Rows whose texts have about ``_TOGETHER`` bytes, or one row."""
+    total = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _TOGETHER, side="right")))
+        yield slice(at, stop)
+        at = stop
 
 
 @cache
@@ -217,12 +258,14 @@ def write_tokens(
         end = np.array([end_id], encoder.dtype).tobytes()
         for rows in batches:
             names, firsts, counts = [], [], []
-            for p, text in zip(rows.column(1).to_pylist(), rows.column(2), strict=True):
+            texts, parts = pc.fill_null(rows.column(2), ""), rows.column(1).to_pylist()
+            encoded = (x for some in _slices(texts) for x in encoder.encode(texts[some]))
+            for p, found in zip(parts, encoded, strict=True):
                 if p != part:
                     if file:
                         file.close()
                     file, part = _File(folder, p, encoder.dtype, length, batch), p
-                ids = np.frombuffer(encoder.encode(text.as_py() or "") + end, encoder.dtype)
+                ids = np.frombuffer(bytes(found) + end, encoder.dtype)
                 names.append(file.name)
                 firsts.append(file.add(ids))
                 counts.append(len(ids))
