@@ -21,8 +21,8 @@ from labelloom.storage import drop_folder, run_folder, written
 
 # The mix goes to shards of about so many bytes of text, and to so many at least.
 SHARD_BYTES, LEAST_SHARDS = 128_000_000, 64
-# Words that a worker remembers while it encodes: workers of earlier stages still hold memory.
-WORDS = 100_000
+# Words that a worker remembers while it encodes: it holds memory while later stages or runs go on.
+WORDS = 50_000
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 _finished: dict[str, list[str]] = {}
 
