@@ -43,6 +43,8 @@ BATCH = 256
 END_ID = 2
 # Remembered runs between spaces, and pieces of runs; as many of the time before may still be known.
 _RUNS, _PIECES = 400_000, 200_000
+# New runs after which it is seen whether the memory is full.
+_RENEWED = 10_000
 # The longest of them worth remembering.
 _LONG = 64
 # Texts of about so many bytes are encoded at a time.
@@ -123,10 +125,11 @@ class WordEncoder:
         # The first run of a text has no space before it, and so an entry of its own.
         begin = [runs[i] for i in at[first].tolist()]
         at[first] = np.arange(len(runs), len(runs) + len(begin))
-        self._runs, self._pieces = self._runs.renewed(), self._pieces.renewed()
         ids = list(map(self._runs.get, runs))
         odd = []
-        for i in [i for i, known in enumerate(ids) if known is None]:
+        for n, i in enumerate([i for i, known in enumerate(ids) if known is None]):
+            if n % _RENEWED == 0:  # a long text may have more new runs than are remembered
+                self._runs, self._pieces = self._runs.renewed(), self._pieces.renewed()
             # Open runs are never remembered, so each is met here.
             if _is_open(runs[i]):
                 odd.append(i)

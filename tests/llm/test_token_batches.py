@@ -57,3 +57,12 @@ def test_slices_hold_all_rows():
     assert rows == [*range(6)]
     assert [*token_files._slices(pa.array([], pa.string()))] == []
     assert np.all([s.stop > s.start for s in token_files._slices(texts)])
+
+
+def test_a_long_text_does_not_fill_the_memory(monkeypatch):
+    monkeypatch.setattr(token_files, "_RUNS", 1000)
+    monkeypatch.setattr(token_files, "_RENEWED", 100)
+    encoder = token_files.WordEncoder(PATH)
+    text = " ".join(f"w{i}" for i in range(20_000))
+    assert bytes(encoder.encode(pa.array([text]))[0]) == expected(encoder, [text])[0]
+    assert len(encoder._runs) <= 1100 and len(encoder._runs._older) <= 1100
