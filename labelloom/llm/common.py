@@ -42,6 +42,11 @@ class Memory(dict[str, bytes]):
             self[text] = found
         return found
 
+    @property
+    def older(self) -> dict[str, bytes]:
+        """The memory in front of which this one stands."""
+        return self._older
+
     def renewed(self) -> Memory:
         """This memory, or an empty one in front of it if it is full."""
         return self if len(self) < self._size else Memory(self._make, self._size, self._longest, dict(self))

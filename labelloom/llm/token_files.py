@@ -68,7 +68,8 @@ class WordEncoder:
 
     The pattern of a byte-level tokenizer always cuts before a single space and around a
     single line feed, so the runs between spaces are encoded apart, and remembered; the
-    different runs of a batch of texts are looked up once each. New runs of plain letters are cut into pieces here, by the same pattern, and new pieces go to the
+    different runs of a batch of texts are looked up once each. New runs of plain letters are
+    cut into pieces here, thousands at once, by the same pattern, and new pieces go to the
     library's model; other new runs go to the library as they are. Texts with other runs of
     spaces or with special tokens are encoded whole.
     """
@@ -87,6 +88,9 @@ class WordEncoder:
         self._plain = self._cuts_alike()
         self._runs = Memory(self._run, _RUNS, _LONG)
         self._pieces = Memory(self._piece, _PIECES, _LONG)
+        # Runs of the older memory, and ids of new runs until they are remembered.
+        self._before: dict[str, bytes] = {}
+        self._made: dict[str, bytes] = {}
 
     def _cuts_alike(self) -> bool:
         """True if the file's rules are those of a byte-level tokenizer and nothing else."""
@@ -110,9 +114,27 @@ class WordEncoder:
 
     def _run(self, run: str) -> bytes:
         """Ids of a run, which stands behind a space."""
-        if self._plain and _PLAIN_RUN(run):
-            return b"".join(map(self._pieces.__getitem__, _PIECE(" " + run)))
-        return self._ids(" " + run)
+        made = self._made.get(run)
+        return self._ids(" " + run) if made is None else made
+
+    def _cut(self, runs: list[str]) -> None:
+        """Keep the ids of those runs that are plain, by their pieces, for ``_run``."""
+        plain = [run for run in runs if _PLAIN_RUN(run)] if self._plain else []
+        pieces = _PIECE("".join([" " + run for run in plain]))
+        ids = list(map(self._pieces.__getitem__, pieces))
+        # A space begins a run's first piece and no other.
+        first = [n for n, piece in enumerate(pieces) if piece[0] == " "]
+        self._made = {
+            run: ids[i] if j - i == 1 else b"".join(ids[i:j])
+            for run, i, j in zip(plain, first, [*first, len(pieces)][1:], strict=True)
+        }
+
+    def _renew(self) -> None:
+        """Go on with empty memories in front of full ones."""
+        runs = self._runs.renewed()
+        if runs is not self._runs:
+            self._runs, self._before = runs, runs.older
+        self._pieces = self._pieces.renewed()
 
     def encode(self, texts: pa.Array) -> list[memoryview]:
         """Ids of each text."""
@@ -126,16 +148,19 @@ class WordEncoder:
         begin = [runs[i] for i in at[first].tolist()]
         at[first] = np.arange(len(runs), len(runs) + len(begin))
         ids = list(map(self._runs.get, runs))
-        odd = []
-        for n, i in enumerate([i for i, known in enumerate(ids) if known is None]):
-            if n % _RENEWED == 0:  # a long text may have more new runs than are remembered
-                self._runs, self._pieces = self._runs.renewed(), self._pieces.renewed()
-            # Open runs are never remembered, so each is met here.
-            if _is_open(runs[i]):
-                odd.append(i)
-                ids[i] = self._ids(" " + runs[i])
-            else:
-                ids[i] = self._runs[runs[i]]
+        odd, unknown = [], [i for i, known in enumerate(ids) if known is None]
+        for n in range(0, len(unknown), _RENEWED):  # a long text may have more new runs than are remembered
+            self._renew()
+            some = unknown[n : n + _RENEWED]
+            self._cut([runs[i] for i in some if runs[i] not in self._before])
+            for i in some:
+                # Open runs are never remembered, so each is met here.
+                if runs[i] not in self._made and _is_open(runs[i]):
+                    odd.append(i)
+                    ids[i] = self._ids(" " + runs[i])
+                else:
+                    ids[i] = self._runs[runs[i]]
+            self._made = {}
         ids += [self._ids(run) if run else b"" for run in begin]
         found = pa.array(ids, pa.large_binary()).take(pa.array(at))
         ends = np.frombuffer(found.buffers()[1], np.int64)[: len(at) + 1]

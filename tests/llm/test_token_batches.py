@@ -51,6 +51,31 @@ def test_a_run_is_looked_up_once_a_batch():
     assert len(asked) <= 4
 
 
+def test_new_runs_are_cut_together(monkeypatch):
+    """Cut one by one, the 3,000 new runs would be 3,000 cuts."""
+    cuts = []
+    cut = token_files._PIECE
+    monkeypatch.setattr(token_files, "_PIECE", lambda text: cuts.append(1) or cut(text))
+    encoder = token_files.WordEncoder(PATH)
+    texts = [" ".join(f"w{i},{i} it's{i}\nx ({i}) x\u0300{i}" for i in range(k, 1000, 10)) for k in range(10)]
+    assert [*map(bytes, encoder.encode(pa.array(texts)))] == expected(encoder, texts)
+    assert len(cuts) <= 3
+
+
+def test_runs_of_full_memories_equal_the_library(monkeypatch):
+    """Runs come from the memory, from the older one, and anew, in chunks of a few."""
+    monkeypatch.setattr(token_files, "_RUNS", 20)
+    monkeypatch.setattr(token_files, "_PIECES", 10)
+    monkeypatch.setattr(token_files, "_RENEWED", 7)
+    encoder = token_files.WordEncoder(PATH)
+    texts = [*ODD, *(" ".join(f"r{(i * k) % 53}'s,\u00e9" for i in range(40)) for k in range(1, 9)), *ODD]
+    found = []
+    for at in range(0, len(texts), 4):
+        found += map(bytes, encoder.encode(pa.array(texts[at : at + 4])))
+    assert found == expected(encoder, texts)
+    assert encoder._before is encoder._runs._older
+
+
 def test_slices_hold_all_rows():
     texts = pa.array(["", "a" * 3_000_000, "b" * 3_000_000, "c" * 9_000_000, "", "d"])
     rows = [i for some in token_files._slices(texts) for i in range(*some.indices(len(texts)))]
