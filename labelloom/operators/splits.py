@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.operators.epochs import epoch_ranks
 from labelloom.operators.keyed import (
     hash_cut, hash_key, hash_rank, hash_threshold, key_rank, up_to,
 )
@@ -118,10 +119,6 @@ def shard_equal(
     return ranked.withColumn(name, shard.cast("int")).drop("_r")
 
 
-# Every epoch has buckets of its own: 16**3 of them.
-_EPOCH_DIGITS = 3
-
-
 def _epochs(df: DataFrame, epochs: int) -> DataFrame:
     return df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
 
@@ -132,10 +129,7 @@ def batch_assign_all(
     """``(epoch, batch)`` per row and epoch, a fresh order each epoch, last batch kept."""
     if shuffle:
         # The epoch is part of the hashed key, so each epoch has its own order.
-        keyed = _epochs(df, epochs).withColumn(
-            "_k", F.concat_ws(":", F.col("epoch").cast("string"), F.col(key).cast("string"))
-        )
-        ranked = hash_rank(keyed, "_k", seed, within=["epoch"], name="_r", digits=_EPOCH_DIGITS).drop("_k")
+        ranked = epoch_ranks(df, key, epochs, seed, name="_r")
     else:
         ranked = _epochs(key_rank(df, key, name="_r"), epochs)
     return ranked.withColumn(

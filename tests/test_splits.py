@@ -5,13 +5,17 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from labelloom.operators import keyed, splits
+from labelloom.operators import epochs, keyed, splits
 
 
 def ids(spark, n):
     return spark.range(n)
 
 
+def keyed_hash(column):
+    return keyed.hash_key(column, 3)
+
+
 def md5(seed, key):
     return hashlib.md5(f"{seed}:{key}".encode()).hexdigest()
 
@@ -131,3 +135,32 @@ def test_offsets_of_many_groups_are_not_broadcast(spark):
     out = splits.batch_assign_all(ids(spark, 500), "id", 64, 20)
     assert len(out.collect()) == 500 * 20
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("key", ["id", "cast(id as string)", "concat('key with many letters, more than a block of md5 takes ', id)"])
+def test_epochs_equal_one_task_windows(spark, monkeypatch, key):
+    monkeypatch.setattr(epochs, "RANGE_ROWS", 100)
+    monkeypatch.setattr(epochs, "LIST_ROWS", 70)
+    df = spark.range(-300, 900).selectExpr(f"{key} as k", "id as other")
+    df = df.withColumn("k", F.when(F.col("other") != 5, F.col("k")))
+    keyed = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("_k", F.concat_ws(":", "epoch", "k"))
+    order = W.partitionBy("epoch").orderBy(keyed_hash("_k"), "_k")
+    want = keyed.withColumn("batch", F.floor((F.row_number().over(order) - 1) / 7).cast("long")).drop("_k")
+    got = splits.batch_assign_all(df, "k", 7, 12, seed=3)
+    assert got.columns == want.columns and got.count() == 14400 and got.exceptAll(want).count() == 0
+
+
+def test_epochs_take_few_bytes_a_row(spark, tmp_path, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(epochs, "written", lambda df, name: sizes.append(name) or keep(df, str(tmp_path / name)))
+
+    def keep(df, path):
+        df.write.parquet(path)
+        return df.sparkSession.read.parquet(path)
+
+    out = splits.batch_assign_all(ids(spark, 200_000), "id", 64, 10)
+    assert out.count() == 2_000_000 and sizes == ["epoch-rows"]
+    held = sum(f.stat().st_size for f in (tmp_path / "epoch-rows").glob("*.parquet"))
+    assert held < 2 * 2_000_000
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Window [row_number" not in plan
