@@ -164,3 +164,13 @@ def test_epochs_take_few_bytes_a_row(spark, tmp_path, monkeypatch):
     assert held < 2 * 2_000_000
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Window [row_number" not in plan
+
+
+def test_full_batches_are_those_of_all(spark, monkeypatch):
+    monkeypatch.setattr(epochs, "RANGE_ROWS", 50)
+    df = ids(spark, 330)
+    every = splits.batch_assign_all(df, "id", 32, 3)
+    full = splits.batch_assign_full(df, "id", 32, 3)
+    assert full.count() == 3 * 320 and full.exceptAll(every.filter("batch < 10")).count() == 0
+    plan = full._jdf.queryExecution().executedPlan().toString()
+    assert "Window [row_number" not in plan and "Generate" not in plan
