@@ -3,10 +3,14 @@
 import math
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from labelloom.operators import blocks, vectors, vocabulary, weights
+from labelloom import storage
+from labelloom.operators import bayes, blocks, vectors, vocabulary, weights
+from labelloom.plans import features, model_reports, registered
 
 TEXTS = [(1, "a b a c"), (2, "b zz b"), (3, ""), (4, None), (None, "c a"), (5, "zz"), (6, "a b"), (6, "b c")]
 
@@ -83,3 +87,55 @@ def test_vectors_listed_twice_count_twice(spark):
     )
     got = {r["d"]: tuple(r)[1:] for r in vectors.pooled_sums(encoded, "d", table).collect()}
     assert got == {1: (5, 4, [13.0], [8.0]), 2: (1, 0, [5.0], [0.0]), 3: (0, 0, None, None)}
+
+
+def test_a_block_is_a_row_group_of_its_own(spark):
+    made = blocks.row_blocks(docs(spark), ["d"], "t", size=1)
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in made.inputFiles()]
+    assert sum(m.num_rows for m in files) == sum(m.num_row_groups for m in files) > 3
+    assert {f.name for f in made.schema.fields if isinstance(f.dataType, BinaryType)} == {"data"}
+
+
+@pytest.fixture
+def fixed_plans(spark):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_rows_that_share_no_key_are_laid_out_once(spark, fixed_plans, monkeypatch):
+    words = spark.createDataFrame([("a", 9, 1), ("b", 9, 2)], "word string, uses long, word_id long")
+    table = words.select("word_id", F.array(F.lit(0.5)).alias("vector"))
+    merged, real = [], blocks.row_blocks
+
+    def seen(df, *args, **kwargs):
+        merged.append("collect_list" in df._jdf.queryExecution().executedPlan().toString())
+        return real(df, *args, **kwargs)
+
+    for module in (weights, vectors):
+        monkeypatch.setattr(module, "row_blocks", seen)
+    for rows, twice in ((docs(spark).filter("d in (2, 3, 4)"), False), (docs(spark).filter("d >= 5"), True)):
+        encoded = vocabulary.encode_known(rows, "d", "t", words)
+        assert exchanges(encoded) == 1 + twice
+        ids = spark.createDataFrame([(r["d"], r["n"]) for r in rows.selectExpr("d", "array(1, 2) n").collect()], "d long, ids array<int>")
+        assert weights.tfidf(vocabulary.document_terms(rows, "t", "d"), "d", F.lit(3)).count() == rows.select("d").distinct().count()
+        assert {r["n"] for r in vectors.pooled_sums(ids, "d", table).collect()} == ({2, 4} if twice else {2})
+    assert merged == [False, False, True, True]
+
+
+def test_grams_are_not_written_before_they_are_weighted(spark, tmp_path, monkeypatch):
+    spark.createDataFrame(
+        [(i, "some words and more words of it", "en", "web") for i in range(6)], "doc_id long, text string, lang string, source string"
+    ).write.parquet(str(tmp_path / "documents.parquet"))
+    names = []
+    real = storage.written
+    for module in (features, model_reports, weights, blocks, bayes):
+        monkeypatch.setattr(module, "written", lambda df, name, **options: names.append(name) or real(df, name, **options))
+    for query in ("agg_chi2_terms", "vec_tfidf_sublinear", "top_chi2_per_class", "top_coef_bayes"):
+        assert registered()[query](spark, str(tmp_path)).count() > 0
+    assert not {"document-terms", "gram-weights"} & set(names) and names.count("blocks") == 4
