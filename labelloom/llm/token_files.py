@@ -136,8 +136,10 @@ class WordEncoder:
             self._runs, self._before = runs, runs.older
         self._pieces = self._pieces.renewed()
 
-    def encode(self, texts: pa.Array) -> list[memoryview]:
-        """Ids of each text."""
+    def encode(self, texts: pa.Array | str) -> list[memoryview] | memoryview:
+        """Ids of each text, or of the one that is given alone."""
+        if isinstance(texts, str):
+            return self.encode(pa.array([texts]))[0]
         texts = texts.cast(pa.large_string())
         split = pc.split_pattern(texts, " ")
         each = split.flatten().dictionary_encode()
