@@ -137,3 +137,21 @@ def test_labelled_files_keep_their_document(spark, tmp_path):
     rows = entry.queries()["src_labelled_files"](spark, str(tmp_path)).collect()
     assert sorted((r["doc_id"], r["label"], r["n_chars"]) for r in rows) == [(1, "truthful", 2), (2, "deceptive", 4), (7, "truthful", 2)]
     assert "SELECT l.doc_id, " in entry.oracle_sql()["src_labelled_files"]
+
+
+def test_labelled_files_are_written_by_all_cores_and_listed_by_few_tasks(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(12 * cores).selectExpr("'a' as root", "id as doc_id", "concat('text ', id) as text").coalesce(1)
+    writers.write_labelled_files(rows, str(tmp_path / "files"), "root", "doc_id")
+    names = [f.name for f in (tmp_path / "files").glob("root=a/*/*.txt")]
+    assert len(names) == 12 * cores and len({n.split("-")[1] for n in names}) > cores
+    spark.sparkContext.setJobGroup("listing", "files are listed")
+    try:
+        files = readers.read_labelled_files(spark, {"x": [f"{tmp_path}/files/root=a"]})
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert max(tasks) <= 4 * cores
+    assert {r["text"] for r in files.collect()} == {f"text {i}\n" for i in range(12 * cores)}
+    assert int(spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")) == 10_000
