@@ -6,6 +6,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from labelloom.operators import evaluation, shards, splits, training
+from labelloom.plans import registered
 from labelloom.sources import readers, writers
 
 WORDS = {"joy": ["happy", "sunny", "great"], "sad": ["cry", "rain", "lost"], "dull": ["queue", "form", "wait"]}
@@ -192,3 +193,18 @@ def test_left_over_rows_are_trained_too(spark, numbers):
     trained = shards.train_shards(few, "id", "x", "y", 2, 3, shards=3)
     sizes = trained.select("shard", "rows").distinct().collect()
     assert sum(r["rows"] for r in sizes) == 5 and len(sizes) == 5
+
+
+def test_wide_fits_wait_for_one_another(spark, monkeypatch):
+    heap = spark._jvm.java.lang.Runtime.getRuntime().maxMemory()
+    assert training.fits_at_once(spark, 1000) == 4 and training.fits_at_once(spark, 0) == 4
+    one = 8 * training.FIT_VECTORS
+    assert training.fits_at_once(spark, heap // one) == training.fits_at_once(spark, 10**9) == 1
+    assert training.fits_at_once(spark, heap // 2 // one // 3) == 3
+    asked = []
+    monkeypatch.setattr(training, "fits_at_once", lambda spark, width, most=4: asked.append(width) or 1)
+    real, given = training.linear_svc, []
+    monkeypatch.setattr(training, "linear_svc", lambda parallelism=4, **p: given.append(parallelism) or real(parallelism, maxIter=2, **p))
+    assert registered()["top_coef_per_class"](spark, "/root/testdata/sf0.001").count() == 16
+    assert registered()["ml_svc_report"](spark, "/root/testdata/sf0.001").count() == 7
+    assert given == [1, 1] and len(asked) == 2 and min(asked) > 100
